@@ -68,7 +68,7 @@ def shard_documents(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "
         place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("__parts", F.lit(1)))
         rows = rows.join(hot.select("__key", "__parts"), "__key", "left").withColumn("__key", F.col("__key") * parts + place).drop("__parts")
     rows = rows.drop("__bytes")
-    starts = offsets(rows.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")), "__key", "__n", "__start").select("__key", "__start")
+    starts = offsets(rows.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")), "__key", "__n", "__start").select(F.col("__key").alias("__bucket"), "__start")
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     names = docs.columns
 
@@ -81,7 +81,7 @@ def shard_documents(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "
         out = left.select(names)
         return out.append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(slot, pa.int64()))
 
-    return rows.groupBy("__key").cogroup(starts.groupBy("__key")).applyInArrow(shuffled, schema)
+    return rows.groupBy("__key").cogroup(starts.groupBy("__bucket")).applyInArrow(shuffled, schema)
 
 
 def write_shards(sharded: DataFrame, path: str, files: int) -> None:
