@@ -97,3 +97,35 @@ def offsets(counts: DataFrame, key: str, n: str, out: str, width: int = 1024) ->
         .withColumn(out, F.col("__before") + F.coalesce(F.sum(n).over(inside), F.lit(0)))
         .drop("__block", "__before")
     )
+
+
+#: Bits of one row of Spark's bitmap aggregate.
+_BITMAP = 32768
+
+
+def _bit(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits))
+
+
+def bitmap_of(df: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
+    """A bitmap of hashed keys: at most bits / 32768 rows of 4096 bytes, however many keys there are."""
+    at = _bit(F.col(key), bits)
+    return df.groupBy(F.floor(at / _BITMAP).alias("__bucket")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(_BITMAP)).cast("long")).alias("__bitmap"))
+
+
+def in_bitmap(df: DataFrame, key: str, bitmap: DataFrame, bits: int = 1 << 24, inside: bool = True) -> DataFrame:
+    """Rows of df whose key's bit is set, or those whose key's isn't. What is broadcast is bounded by bits / 8 bytes."""
+    at = _bit(F.col(key), bits)
+    place = F.pmod(at, F.lit(_BITMAP)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__bitmap"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = df.withColumn("__bucket", F.floor(at / _BITMAP)).join(F.broadcast(bitmap), "__bucket", "inner" if inside else "left")
+    is_set = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8))) == 1, F.lit(False))
+    return joined.filter(is_set if inside else ~is_set).drop("__bucket", "__bitmap")
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """Rows of docs whose identifier isn't in gone (column id). Only rows whose bit is set in a bitmap of gone are shuffled."""
+    bitmap = bitmap_of(gone, "id")
+    suspects = in_bitmap(docs, id_col, bitmap)
+    stay = suspects.join(gone.select(F.col("id").alias("__gone")), F.col(id_col) == F.col("__gone"), "left_anti")
+    return in_bitmap(docs, id_col, bitmap, inside=False).select(*docs.columns).unionByName(stay.select(*docs.columns))

@@ -14,14 +14,10 @@ result. Columns other than the two named are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, staged, text_of
-
-#: Bits of one row of Spark's bitmap aggregate.
-_BITMAP = 32768
-
+from .common import bitmap_of, in_bitmap, scratch, staged, text_of
 
 class DigestIndex:
     """Runs of (memtable, digest, keep, n). One instance can take further batches by flush() and be compacted again."""
@@ -64,29 +60,6 @@ class DigestIndex:
         return self.entries().select("memtable", "digest", F.col("keep").alias("local")).join(total, "digest")
 
 
-def _bit(digest: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(bits))
-
-
-def _filter(hits: DataFrame, bits: int) -> DataFrame:
-    """A bitmap of the digests that were hit: at most bits / 32768 rows of 4096 bytes."""
-    at = _bit(F.col("digest"), bits)
-    return hits.groupBy(F.floor(at / _BITMAP).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(_BITMAP)).cast("long")).alias("bitmap"))
-
-
-def _may_be_hit(docs: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
-    """Rows of docs whose digest's bit is set. The broadcast is bounded by bits / 8 bytes; beyond that more rows pass."""
-    at = _bit(F.col("digest"), bits)
-    place = F.pmod(at, F.lit(_BITMAP)).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return (
-        docs.withColumn("bucket", F.floor(at / _BITMAP))
-        .join(F.broadcast(bitmap), "bucket")
-        .filter(F.getbit(byte, F.pmod(place, F.lit(8))) == 1)
-        .drop("bucket", "bitmap")
-    )
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", memtables: int = 32, digest_bits: int = 256, filter_bits: int = 1 << 24) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256.
 
@@ -108,7 +81,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = staged(index.hits(), "dedup-hits")
 
     # Byte verification: the texts of rows whose digest was hit, and no others, are shuffled.
-    suspects = _may_be_hit(rows, _filter(hits, filter_bits), filter_bits).join(hits, ["memtable", "digest"])
+    suspects = in_bitmap(rows, "digest", bitmap_of(hits, "digest", filter_bits), filter_bits).join(hits, ["memtable", "digest"])
     local = suspects.filter(F.col("id").eqNullSafe(F.col("local"))).groupBy("memtable", "digest").agg(F.min("text").alias("local_text"))
     unlike = suspects.join(local, ["memtable", "digest"]).filter(F.col("text") != F.col("local_text")).select("digest")
     first = suspects.filter(F.col("id").eqNullSafe(F.col("local"))).select("digest", "text").groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b"))

@@ -72,7 +72,7 @@ def shard_documents(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     names = docs.columns
 
-    def shuffled(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def shuffled(key, left, right):
         number = key[0].as_py()
         left = left.take(pa.compute.sort_indices(left["__hash"]))  # an order that doesn't depend on the order of arrival
         left = left.take(pa.array(fisher_yates(left.num_rows, [seed & (2**63 - 1), number])))
