@@ -54,17 +54,25 @@ class Memory:
     def __init__(self, f, size: int = REMEMBERED):
         self.f, self.half, self.young, self.old = f, size // 2, {}, {}
 
-    def of(self, x: str) -> bytes:
+    def met(self, x: str) -> bytes | None:
         y = self.young.get(x)
         if y is None:
             y = self.old.get(x)
-            if y is None:
-                y = self.f(x)
-                if len(x) > 48:
-                    return y
+            if y is not None:
+                self.put(x, y)
+        return y
+
+    def put(self, x: str, y: bytes) -> None:
+        if len(x) <= 48:
             if len(self.young) >= self.half:
                 self.old, self.young = self.young, {}
             self.young[x] = y
+
+    def of(self, x: str) -> bytes:
+        y = self.met(x)
+        if y is None:
+            y = self.f(x)
+            self.put(x, y)
         return y
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, exact_dedup, minhash, quality_rules, sharding, warc
+from . import bpe, chat, classifier, exact_dedup, minhash, packing, quality_rules, sharding, warc
 from .common import scratch, table, text_of
 
 SHARDS = 40
@@ -50,6 +50,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("word_bpe_49k.json"))
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed"]
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_sharding": op3_sharding,
     "op4_warc": op4_warc,
+    "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_minhash": op9_minhash,
