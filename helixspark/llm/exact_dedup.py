@@ -109,17 +109,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", **options) -> DataFrame:
-    """docs without the rows that exact_dedup() drops, all columns kept.
+    """docs without the rows that exact_dedup() drops, all columns kept. Only rows of groups are shuffled.
 
-    Only rows of groups are looked up: repeated rows of one identifier are told apart by a number within (id, digest).
+    Repeated rows of the identifier that stays are told apart by a number within (identifier, digest).
     """
-    marks = exact_dedup(docs, id_col, text_col, keep, **options).filter("group_size > 1").select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__sha"), F.col("kept").alias("__kept"))
-    marks = staged(marks.groupBy("__id", "__sha").agg(F.max("__kept").alias("__kept"), F.count(F.lit(1)).alias("__times")), "dedup-marks")
-    named = docs.withColumn("__sha", F.unhex(F.sha2(text_of(text_col).cast("binary"), 256)))
-    joined = named.join(marks, named[id_col].eqNullSafe(marks["__id"]) & (named["__sha"] == marks["__sha"]), "left").drop(marks["__sha"])
-    stay = joined.filter(F.col("__kept").isNull() | F.col("__kept"))
-    if marks.filter("__kept AND __times > 1").isEmpty():
-        return stay.select(*docs.columns)
-    again = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.lit(0)))
-    repeated = stay.filter("__times > 1").withColumn("__again", again).filter("__again = 1")
-    return stay.filter("__times IS NULL OR __times = 1").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    groups = exact_dedup(docs, id_col, text_col, keep, **options).filter("group_size > 1")
+    marks = groups.select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__key"), F.col("kept").alias("__kept"))
+    marks = staged(marks.groupBy("__id", "__key").agg(F.max("__kept").alias("__kept")), "dedup-marks")
+    named = docs.withColumn("__key", F.unhex(F.sha2(text_of(text_col).cast("binary"), 256)))
+    bitmap = bitmap_of(marks, "__key")
+    single = in_bitmap(named, "__key", bitmap, inside=False)
+    suspects = in_bitmap(named, "__key", bitmap)
+    found = suspects.join(marks.withColumnRenamed("__key", "__sha"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")), "left")
+    again = F.row_number().over(Window.partitionBy("__key", id_col).orderBy(F.lit(0)))
+    stay = found.filter("__kept IS NULL OR __kept").withColumn("__again", again).filter("__kept IS NULL OR __again = 1")
+    return single.select(*docs.columns).unionByName(stay.select(*docs.columns))
