@@ -1 +1 @@
-
+"""Structured Streaming twins of order-dependent operators."""
