@@ -208,7 +208,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
                     page = _number(source)
                     shown: dict[int, list[str]] = {}
                     for x in pieces(source):
-                        if x.dropped:
+                        if x.dropped or not x.path:
                             continue
                         nodes, text = branches(x.path), _number(x.text)
                         rows.update((host, page, node, text, None) for node in nodes)

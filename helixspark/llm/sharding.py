@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import offsets, ship, text_of
+from .common import offsets, ship, staged, text_of
 
 #: Bytes that any record takes besides its text.
 OVERHEAD = 16
@@ -67,6 +67,7 @@ def shard_documents(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "
     if parts > 1:
         place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("__parts", F.lit(1)))
         rows = rows.join(hot.select("__key", "__parts"), "__key", "left").withColumn("__key", F.col("__key") * parts + place).drop("__parts")
+        rows = staged(rows, "shards-split")  # places in the input must be the same for the counts and for the rows
     rows = rows.drop("__bytes")
     starts = offsets(rows.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")), "__key", "__n", "__start").select(F.col("__key").alias("__bucket"), "__start")
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
