@@ -39,10 +39,10 @@ BATCH = 40
 MISS = 1e-7
 #: Members of a bucket that one block holds.
 BLOCK = 4096
-#: Pairs for each class and component that the first pass over unlike buckets takes.
-FIRST = 4
-#: Parts into which the pairs of one hub are dealt.
-SALTS = 16
+#: Pairs for each class that the passes over unlike buckets take; None takes all that are left.
+PASSES = (4, None)
+#: Pairs of one hub that one part holds.
+DEALT = 2048
 
 
 class _Hashes:
@@ -202,13 +202,20 @@ def _same_size(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _met(pairs: DataFrame, own: DataFrame, names: list[str]) -> DataFrame:
+    """pairs (a, b) with the columns of both sides from own (cid, names): name_a, name_b. Hubs with many pairs are dealt over several parts."""
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("parts"))
+    hot = hubs.filter("parts > 1").withColumnRenamed("a", "hot")
+    sided = pairs.join(hot, F.col("a") == F.col("hot"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    sided = sided.join(own.select(F.col("cid").alias("b"), *(F.col(x).alias(f"{x}_b") for x in names)), "b")
+    left = own.join(hubs, own["cid"] == hubs["a"]).select("a", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), *(F.col(x).alias(f"{x}_a") for x in names))
+    return sided.join(left, ["a", "part"])
+
+
 def _given(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) that the signatures don't give up. Pairs of one hub a are dealt over SALTS parts."""
+    """Pairs (a, b) that the signatures don't give up."""
     percent = round(least * 100)
-    own = classes.select("cid", "n_shingles", "sig")
-    hubs = own.join(pairs.select(F.col("a").alias("cid")).distinct(), "cid").select(F.col("cid").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    sided = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(own.select(F.col("cid").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb")), "b")
-    both = sided.join(hubs, ["a", "salt"]).filter(_same_size("na", "nb", percent)).select("a", "b", "sa", "sb")
+    both = _met(pairs, classes.select("cid", "n_shingles", "sig"), ["n_shingles", "sig"]).filter(_same_size("n_shingles_a", "n_shingles_b", percent)).select("a", "b", "sig_a", "sig_b")
 
     def run(batches):
         for batch in batches:
@@ -218,31 +225,57 @@ def _given(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """cid, shingles of the wanted classes (cid, distinct), from the texts of their representatives; written."""
+    wanted = staged(classes.select("cid", "key", "rep_id").join(wanted, "cid"), "minhash-wanted")
+    # Only texts whose identifier's bit is set are read on; rows without an identifier are looked at in any case.
+    found = in_bitmap(docs, "id", bitmap_of(wanted, "rep_id")).unionByName(docs.filter("id IS NULL"))
+    sets = _full_sets(found, k).join(wanted, "key").filter(F.col("id").eqNullSafe(F.col("rep_id"))).select("cid", "shingles")
+    return staged(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "minhash-sets")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
     """The pairs whose full sets reach the similarity, written."""
     percent = round(least * 100)
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = staged(classes.select("cid", "key", "rep_id").join(wanted, "cid"), "minhash-wanted")
-    # Texts of the classes' representatives; rows without an identifier are looked at in any case.
-    found = in_bitmap(docs, "id", bitmap_of(wanted, "rep_id")).unionByName(docs.filter("id IS NULL"))
-    sets = _full_sets(found, k).join(wanted, "key").filter(F.col("id").eqNullSafe(F.col("rep_id"))).select("cid", "shingles")
-    sets = staged(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "minhash-sets")
-    hubs = sets.join(pairs.select(F.col("a").alias("cid")).distinct(), "cid").select(F.col("cid").alias("a"), F.col("shingles").alias("sa"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    sided = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = sided.join(hubs, ["a", "salt"]).withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return staged(both.filter(F.col("common") * 100 >= (F.size("sa") + F.size("sb") - F.col("common")) * percent).select("a", "b"), "minhash-links")
+    sets = _sets(wanted, classes, docs, k)
+    both = _met(pairs, sets, ["shingles"]).withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")))
+    return staged(both.filter(F.col("common") * 100 >= (F.size("shingles_a") + F.size("shingles_b") - F.col("common")) * percent).select("a", "b"), "minhash-links")
+
+
+def _short(shingles: Column) -> Column:
+    """Sorted 32-bit halves of the hashes, repeated ones kept, so that sets have no less in common by them."""
+    return F.array_sort(F.transform(shingles, lambda x: F.shiftright(x, 32).cast("int")))
+
+
+def _flattened(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+
+
+def _inside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of the sorted a whether it is in the sorted b."""
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return b[at] == a
 
 
-def _unlike(members: DataFrame, classes: DataFrame, comps: DataFrame, least: float, first: int | None) -> DataFrame:
-    """Pairs between different components of a bucket that the signatures don't give up. first: only so many for each class and component.
+def _unlike(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, k: int, least: float, first: int | None) -> DataFrame:
+    """Pairs between different components of a bucket that the signatures don't give up. first: only the so many most alike of each class.
 
-    Buckets are cut into blocks, and each pair of blocks is gone through by itself. A pair is taken in the first bucket that it shares.
+    Buckets are cut into blocks, and each pair of blocks is gone through by itself. A pair is taken in the first bucket that it
+    shares. Without first, the sets of the classes come along as 32-bit hashes, and only pairs whose sets have enough of these
+    in common are returned, so that a crowd of classes a little less alike than asked for makes no rows.
     """
     percent = round(least * 100)
     now = members.join(comps.select(F.col("v").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi AND n > 2")
     mixed = mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = now.join(mixed, "bucket").join(classes.select("cid", "n_shingles", "bands", "sig"), "cid")
+    rows = now.join(mixed, "bucket")
+    if first is None:
+        rows = staged(rows, "minhash-mixed")
+        sets = _sets(rows.select("cid").distinct(), classes, docs, k)
+        rows = rows.join(sets.select("cid", _short(F.col("shingles")).alias("hashes")), "cid")
+    rows = rows.join(classes.select("cid", "n_shingles", "bands", "sig"), "cid")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
 
@@ -252,25 +285,31 @@ def _unlike(members: DataFrame, classes: DataFrame, comps: DataFrame, least: flo
         order = np.argsort(cid)
         cid, comp, n, own, bucket = cid[order], comp[order], n[order], own[order], bucket[0]
         sig, bands = _bytes(t["sig"].combine_chunks())[order], np.array(t["bands"].to_pylist(), dtype=np.int64)[order]
+        flat, start = (None, None) if first is not None else _flattened(t["hashes"].combine_chunks().take(pa.array(order)))
         band = int(np.argmax((bands == bucket).all(axis=0)))
+        _, at_comp, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        size = sizes[at_comp]
         out_a, out_b = [], []
         for i in range(len(cid)):
             meets = (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
             if x != y:
-                if own[i] != x:
-                    continue
-                meets &= own == y
-            elif first is None:
+                meets &= own != own[i]
+            if first is not None:  # from the smaller component to the larger one
+                meets &= (size > size[i]) | (size == size[i]) & (comp > comp[i])
+            elif x == y:
                 meets[: i + 1] = False
+            elif own[i] != x:
+                continue
             at = np.flatnonzero(meets)
             at = at[~(bands[at, :band] == bands[i, :band]).any(axis=1)]
             at = at[alike(np.broadcast_to(sig[i], (len(at), HASHES)), sig[at], least)]
-            if first is not None and len(at):
+            if first is not None and len(at) > first:
                 score = np.count_nonzero(sig[at] == sig[i], axis=1)
-                at = at[np.lexsort((cid[at], -score, comp[at]))]
-                start = np.flatnonzero(np.r_[True, comp[at][1:] != comp[at][:-1]])
-                rank = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))
-                at = at[rank < first]
+                at = at[np.lexsort((cid[at], -score))[:first]]
+            if first is None and len(at):
+                own_set = flat[start[i] : start[i + 1]]
+                common = np.array([np.count_nonzero(_inside(flat[start[j] : start[j + 1]], own_set)) for j in at])
+                at = at[common * 100 >= (n[i] + n[at] - common) * percent]
             out_a.append(np.full(len(at), cid[i]))
             out_b.append(cid[at])
         a, b = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (out_a, out_b))
@@ -301,8 +340,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(tested, classes, docs, shingle, least)
     comps = components(links)
     members = members.filter("n > 2").select("bucket", "cid")
-    for first in (FIRST, None):
-        more = staged(_unlike(members, classes, comps, least, first), "minhash-unlike")
+    for first in PASSES:
+        more = staged(_unlike(members, classes, comps, docs, shingle, least, first), "minhash-unlike")
         done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = staged(more.join(done, ["a", "b"], "left_anti"), "minhash-more")
         if more.isEmpty():
