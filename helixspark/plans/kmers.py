@@ -24,3 +24,31 @@ def kmer_search(queries: DataFrame, key: str, seq: str, index: DataFrame, k: int
     hits = exploded(queries, seq, k, key).join(index.select("kmer", "state"), "kmer").groupBy(key).agg(F.min(F.struct("pos", "state")).alias("hit"))
     result = F.when(F.col("hit.state") == 1, "ONCE").when(F.col("hit.state") == 2, "TWICE").otherwise("NONE")
     return queries.select(key).join(hits, key, "left").select(key, result.alias("result"), F.coalesce(F.col("hit.pos"), F.lit(-1)).cast("long").alias("pos"))
+
+
+def save_index(index: DataFrame, path: str, files: int = 64) -> None:
+    """Write an index in ranges of its k-mers, so that a search for a few of them reads a few files."""
+    index.repartitionByRange(files, "kmer").sortWithinPartitions("kmer").write.parquet(path)
+
+
+def load_index(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def suffixes(df: DataFrame, key: str, text: str, length: int = 64) -> DataFrame:
+    """key, pos, suffix: the suffixes of texts, cut to a length; sorted by suffix they are a suffix array."""
+    at = F.explode(dna.positions(F.length(text) - 1)).alias("pos")
+    return df.select(key, text, at).select(key, "pos", dna.substr(text, F.col("pos"), length).alias("suffix"))
+
+
+def find_all(index: DataFrame, queries: DataFrame, key: str, query: str = "query") -> DataFrame:
+    """query, key, pos of all occurrences of queries of the same length k, by an equi-join with the suffixes' first k letters. index: of suffixes()."""
+    q = queries.withColumn("__n", F.length(query))
+    sizes = [r[0] for r in q.select("__n").distinct().limit(65).collect()]
+    if len(sizes) > 64:
+        raise ValueError("queries of at most 64 lengths at a time")
+    parts = [index.select(key, "pos", F.substring("suffix", 1, n).alias("__s")).join(q.filter(F.col("__n") == n).select(query), F.col("__s") == F.col(query)).select(query, key, "pos") for n in sizes]
+    out = parts[0] if parts else index.select(F.lit("").alias(query), key, "pos").limit(0)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
