@@ -17,6 +17,7 @@ import functools
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Memory
 from .common import ship, staged, text_of
 from .words import slices
 
@@ -39,6 +39,25 @@ _LEVELS = 8
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-įı-ɏ]*")
 
 
+#: What the tokenizer's pattern makes of such words.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ɏ0-9]+")
+
+
+#: Words that a worker remembers, in two generations.
+REMEMBERED = 1_000_000
+
+
+class _Known(dict):
+    """Ids by word; words that are asked for and aren't there are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.lost: set[str] = set()
+
+    def __missing__(self, word: str) -> None:
+        self.lost.add(word)
+
+
 class Encoder:
     """Ids of whole texts by a file of the tokenizers library whose texts are lower-cased and split at white space."""
 
@@ -49,7 +68,7 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
-        self.words = Memory(None, 500_000)
+        self.young, self.old = _Known(), _Known()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -57,18 +76,35 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text. Words are encoded once for as long as they are remembered."""
         split = [x.lower().split() if "<|" not in x and _PLAIN.fullmatch(x) else None for x in texts]
-        own = dict.fromkeys(w for ws in split if ws for w in ws)
-        new = []
-        for w in own:
-            own[w] = self.words.met(w)
-            if own[w] is None:
-                new.append(w)
+        if len(self.young) > REMEMBERED // 2:
+            self.old, self.young = self.young, _Known()
+        young, old = self.young, self.old.get
+        known = [ws and list(map(young.__getitem__, ws)) for ws in split]
+        lost = list(young.lost)
+        cut = {}
+        for w in lost:
+            young[w] = old(w)
+            if young[w] is None:
+                cut[w] = _PIECE.findall(w)
+        new = {x for ps in cut.values() for x in ps if young.get(x) is None}
+        for x in list(new):
+            if (v := old(x)) is not None:
+                young[x] = v
+                new.discard(x)
+        new = sorted(new)
         for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.t.encode_batch(part, add_special_tokens=False), strict=True):
-                own[w] = np.array(e.ids, dtype="<u4").tobytes()
-                self.words.put(w, own[w])
-        return [self._whole(x) if ws is None else b"".join(map(own.__getitem__, ws)) for x, ws in zip(texts, split, strict=True)]
+            batch = new[at : at + 4096]
+            for x, e in zip(batch, self.t.encode_batch(batch, add_special_tokens=False), strict=True):
+                young[x] = array("I", e.ids).tobytes()
+        for w, ps in cut.items():
+            if len(ps) > 1:
+                young[w] = b"".join(map(young.__getitem__, ps))
+        out = [self._whole(x) if ws is None else b"".join(vs if None not in vs else map(young.__getitem__, ws)) for x, ws, vs in zip(texts, split, known, strict=True)]
+        for w in (*lost, *new):
+            if len(w) > 48:
+                young.pop(w, None)
+        young.lost.clear()
+        return out
 
 
 @functools.lru_cache(2)
@@ -315,11 +351,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Dat
         if not n:
             break
         placed = staged(_level(items, n, level, capacity, block), "packing-level")
-        left = placed.filter(F.col("room") > SLACK).count()
-        last = n <= block or level == _LEVELS - 1 or left > n // 2  # where most bins can't be full, blocks lose nothing
+        last = n <= block or level == _LEVELS - 1
+        left, quarter = placed.agg(F.count_if(F.col("room") > SLACK), F.percentile_approx("room", 0.75)).first()
+        # Where most bins can't be full, only the pieces of the emptiest ones, a quarter of all, are packed again.
+        room = SLACK if left <= n // 2 else max(SLACK, quarter)
+        left = left if room == SLACK else n // 4
         # Full bins go along as well, half a block of them, so that what is left over finds pieces to be combined with.
         share = (max(1, -(-2 * left // block)) * block * 0.9 - left) / max(n - left, 1)
-        loose = (F.col("room") > SLACK) | (F.pmod(F.xxhash64("sequence_id"), F.lit(1_000_000)) < int(1e6 * share))
+        loose = (F.col("room") > room) | (F.pmod(F.xxhash64("sequence_id"), F.lit(1_000_000)) < int(1e6 * share))
         final = placed if last else placed.filter(~loose)
         done = final if done is None else done.unionByName(final)
         if last:
