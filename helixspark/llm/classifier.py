@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ HIDDEN = 32
 _EXTRA = 6
 _UPPER, _LOWER, _DIGIT = re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"[0-9]+")
 _MARKS = re.compile(r"([^Aa0])\1{2,}")
+_ENDS = set(".,;:!?")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -43,17 +45,23 @@ def held_out(id_col: str) -> Column:
 
 
 def _hash(text: str) -> int:
-    h = 0xCBF29CE484222325
-    for b in text.encode("utf-8", "surrogatepass"):
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h ^ h >> 31
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
 def classes_of(word: str) -> tuple[int, int]:
     """The class of a word's letters and that of its shape."""
-    shape = _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("A", word[:64])))
-    shape = _MARKS.sub(r"\1\1", shape)
-    return _hash(_NOT_LETTER.sub("", word).lower()[:64]) % LETTERS, LETTERS + _hash(shape) % SHAPES
+    word = word[:64]
+    end = word[-1:]
+    core = word[:-1] if end in _ENDS else word
+    if core.isalpha():  # the common case, without patterns
+        shape = "a" if core.islower() else "A" if core.isupper() else "Aa" if core[1:].islower() else "AaA"
+        if end in _ENDS:
+            shape += end
+        letters = core.lower()
+    else:
+        shape = _MARKS.sub(r"\1\1", _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("A", word))))
+        letters = _NOT_LETTER.sub("", word).lower()
+    return _hash(letters) % LETTERS, LETTERS + _hash(shape) % SHAPES
 
 
 class _Words:
@@ -104,16 +112,18 @@ def contexts(texts: list[str], index: np.ndarray, total: np.ndarray) -> None:
         return
     cls = _words(flat)
     doc = np.repeat(np.arange(len(split)), lengths)
-    x = (index[cls[:, 0]] + index[cls[:, 1]]).astype(np.float64)
+    x = (index[cls[:, 0]] + index[cls[:, 1]]).astype(np.float32)
     near = np.zeros_like(x)
     for d in range(1, min(REACH, len(flat) - 1) + 1):
         same = (doc[d:] == doc[:-d])[:, None]
         near[d:] += x[:-d] * same
         near[:-d] += x[d:] * same
     for column in (0, 1):
-        c = cls[:, column]
-        for k in range(DIM):
-            total[:, k] += np.bincount(c, weights=near[:, k], minlength=CLASSES)
+        c = cls[:, column].astype(np.uint16)
+        order = np.argsort(c, kind="stable")
+        c = c[order]
+        start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        total[c[start]] += np.add.reduceat(near[order], start, axis=0)
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
