@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ship, text_of
+from .words import remembers, turn_of
 
 # Unicode's White_Space, and the byte-level pattern with it.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -185,6 +186,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+remembers("bpe", codec.cache_clear)
+
+
 @functools.lru_cache(1)
 def _decimals(n: int) -> list[str]:
     return [str(i) for i in range(n)]
@@ -201,6 +205,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     types = {"ids": pa.list_(pa.int32()), "decoded": pa.string(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
     def run(batches):
+        turn_of("bpe")
         c = codec(path)
         decimals = _decimals(len(c.bytes))
         for batch in batches:

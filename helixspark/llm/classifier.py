@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, text_of
-from .words import slices, words_of
+from .words import remembers, slices, turn_of, words_of
 
 LETTERS, SHAPES, DIM, REACH = 1 << 14, 1 << 11, 32, 2
 CLASSES = LETTERS + SHAPES
@@ -72,6 +72,7 @@ class _Words:
 
     def __call__(self, words: list[str]) -> np.ndarray:
         """An array (n, 2) of classes."""
+        turn_of("classifier")
         known = self.known
         found = list(map(known.get, words))
         if None in found:
@@ -92,6 +93,7 @@ class _Words:
 
 
 _words = _Words()
+remembers("classifier", lambda: _words.known.clear())
 
 
 def index_vectors() -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import bitmap_of, in_bitmap, ship, staged, text_of, without
 from .components import components
-from .words import slices
+from .words import remembers, slices, turn_of
 
 BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
@@ -52,6 +52,7 @@ class _Hashes:
         self.size, self.known = size, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
+        turn_of("minhash")
         known = self.known
         found = list(map(known.get, words))
         if None in found:
@@ -67,6 +68,7 @@ class _Hashes:
 
 
 _hashes = _Hashes()
+remembers("minhash", lambda: _hashes.known.clear())
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ship, staged, text_of
-from .words import slices
+from .words import remembers, slices, turn_of
 
 CAPACITY = 2048
 #: Pieces of a block, islands of a block, individuals of an island, epochs and children of an epoch.
@@ -112,6 +112,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+remembers("packing", encoder.cache_clear)
+
+
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = 0, with_ids: bool = False) -> DataFrame:
     """id, piece, start, length, ids_crc32 (of the ids as little-endian unsigned 32 bits) of every piece, and its ids if wanted."""
     ship(docs.sparkSession)
@@ -121,6 +124,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     width = 4 * capacity
 
     def run(batches):
+        turn_of("packing")
         e = encoder(path)
         for batch in batches:
             at = 0

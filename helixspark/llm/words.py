@@ -3,13 +3,32 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space of str.split() beyond that of WORD.
 _MORE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
+#: What workers keep for each operator, and which of them ran last.
+_clear: dict[str, Callable[[], object]] = {}
+_running: list[str] = []
+
+
+def remembers(operator: str, clear: Callable[[], object]) -> None:
+    """clear empties what an operator keeps in a worker between batches."""
+    _clear[operator] = clear
+
+
+def turn_of(operator: str) -> None:
+    """Call when an operator starts on a batch: a worker keeps what one operator remembers, not what all do."""
+    if _running != [operator]:
+        for name, clear in _clear.items():
+            if name != operator:
+                clear()
+        _running[:] = [operator]
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text) if _MORE.search(text) else text.split()
 
