@@ -73,11 +73,18 @@ def member(data: bytes, level: int) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark itself would take for it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return f"file://{uri.removeprefix('file:')}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def _store(uri: str):
-    """File system and path of a URI; local paths, and the stores that Arrow opens."""
+    """File system and path of a URI, for the stores that Arrow opens."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return fs.FileSystem.from_uri(uri)
 
 
 MANIFEST = "file string, part int, roll int, n_records long, n_bytes long, sha256 string"
@@ -89,6 +96,7 @@ def write_archives(
     """Write path/*.warc.gz and path/_manifest, which is returned. least_revisit: bytes of payload from which copies are revisits."""
     spark = pages.sparkSession
     ship(spark)
+    path = _qualified(spark, path)
     payload = F.encode(text_of(payload_col), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     slim = rows.select("id", F.unhex(F.sha1("payload")).alias("digest"), F.octet_length("payload").alias("n"), F.pmod(F.xxhash64("id"), F.lit(16)).alias("salt"))
@@ -207,6 +215,7 @@ _FIELDS = {"page_id": "long", "url": "string", "payload": "binary", "payload_byt
 def read_archives(spark: SparkSession, path: str, columns: tuple[str, ...] = tuple(_FIELDS)) -> DataFrame:
     """A row per response and revisit of the files in the manifest; payload is null for revisits."""
     ship(spark)
+    path = _qualified(spark, path)
     schema = ", ".join(f"{c} {_FIELDS[c]}" for c in columns)
     files = spark.read.parquet(f"{path}/_manifest").select("file", "n_records")
     n = max(1, min(files.count(), 10_000))
