@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import dna, tables
-from .plans.synth import dna32, genome, sequences, sql_revcomp, table, with_
+from .plans.synth import genome, sequences, sql_revcomp, table, with_
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

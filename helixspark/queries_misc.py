@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from .functions import dna, stats, tables, thermo, vcf
+from .functions import stats, tables, thermo, vcf
 from .operators import alignment, variant_filter
 from .plans import oligo
 from .plans.synth import genome, sequences, sql_dna32, table, variants, with_
