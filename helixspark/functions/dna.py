@@ -127,7 +127,7 @@ def longest_prefix(text: Column | str, q: Column | str) -> Column:
 
 def wrap(s: Column | str, width: int = 60, end: bool = False) -> Column:
     """Lines of so many characters; end: a line end at the end too."""
-    lines = F.regexp_replace(_c(s), f"(.{{{width}}})(?=.)", "$1\n")
+    lines = F.regexp_replace(_c(s), f"(?s)(.{{{width}}})(?=.)", "$1\n")
     return F.concat(lines, F.lit("\n")) if end else lines
 
 

@@ -116,7 +116,7 @@ def _(spark, sf):
 
 @register("fasta_format60", "SELECT doc_id, substr(t, 1, 60) || CASE WHEN length(t) > 60 THEN chr(10) || substr(t, 61, 60) ELSE '' END || CASE WHEN length(t) > 120 THEN chr(10) || substr(t, 121) ELSE '' END AS wrapped FROM (SELECT doc_id, substr(replace(text, chr(10), ' '), 1, 180) AS t FROM documents)")
 def _(spark, sf):
-    t = F.substring(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1, 180)
+    t = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     return table(spark, sf, "documents").select("doc_id", dna.wrap(t).alias("wrapped"))
 
 
