@@ -44,6 +44,30 @@ def pair_sum(s: Column | str, table: dict[str, float]) -> Column:
     return F.aggregate(F.transform(dna.positions(F.length(s) - 2), lambda i: F.element_at(values, dna.substr(s, i, 2))), F.lit(0.0), lambda a, x: a + x)
 
 
+#: Sums over neighbours are kept as whole numbers of so small parts, so that differences of them are exact.
+_PARTS = 100_000
+
+
+def neighbour_sums(s: Column | str) -> Column:
+    """h, e, gc, unknown: sums over all neighbouring bases before each base, so that those of a window are differences."""
+    s = dna._c(s)
+    h, e = (dna.literal_map({k: round(v * _PARTS) for k, v in t.items()}) for t in (tables.NN_H, tables.NN_S))
+    none = F.lit(0).cast("long")
+
+    def step(a, x):
+        last, value = F.element_at(a, F.lit(-1)), {"h": F.element_at(h, x), "e": F.element_at(e, x), "gc": x.substr(1, 1).isin("G", "C").cast("long"), "unknown": F.element_at(h, x).isNull().cast("long")}
+        return F.array_append(a, F.struct(*((last[k] + F.coalesce(v.cast("long"), none)).alias(k) for k, v in value.items())))
+
+    pairs = F.transform(dna.positions(F.length(s) - 2), lambda i: dna.substr(s, i, 2))
+    return F.aggregate(pairs, F.array(F.struct(*(none.alias(k) for k in ("h", "e", "gc", "unknown")))), step)
+
+
+def sums_within(sums: Column, start: Column, n: Column) -> Column:
+    """neighbour_sums of the n bases from the 0-based start."""
+    a, b = F.get(sums, start), F.get(sums, start + n - 1)
+    return F.struct(*((b[k] - a[k]).alias(k) for k in ("h", "e", "gc", "unknown")))
+
+
 def end_terms(s: Column | str, table: dict[str, float]) -> Column:
     s, values = dna._c(s), dna.literal_map(table)
     return F.element_at(values, F.substring(s, 1, 1)) + F.element_at(values, F.substring(s, -1, 1))
@@ -53,12 +77,13 @@ def strand_concentration(a: float, b: float) -> float:
     return a / 4 if abs(a - b) / (a + b) < 0.1 else max(a, b) - min(a, b) / 2
 
 
-def tm_1m(s: Column | str, p: Params = Params()) -> Column:
-    """Kelvin at 1 mol/l of sodium, by nearest neighbours. At least three bases."""
+def tm_1m(s: Column | str, p: Params = Params(), sums: Column | None = None) -> Column:
+    """Kelvin at 1 mol/l of sodium, by nearest neighbours. At least three bases. sums: those of s by sums_within(), if known."""
     s = dna._c(s)
     own = dna.self_complementary(s)
-    h = end_terms(s, tables.END_H) + pair_sum(s, tables.NN_H)
-    e = end_terms(s, tables.END_S) + pair_sum(s, tables.NN_S)
+    known = lambda k, table: pair_sum(s, table) if sums is None else F.when(sums["unknown"] == 0, sums[k] / _PARTS)
+    h = end_terms(s, tables.END_H) + known("h", tables.NN_H)
+    e = end_terms(s, tables.END_S) + known("e", tables.NN_S)
     ct = F.when(own, p.primer).otherwise(strand_concentration(p.primer, p.template))
     return 1000 * h / (e + F.when(own, -1.4).otherwise(0.0) + tables.GAS * F.ln(ct))
 
@@ -71,13 +96,13 @@ def salt_regime(p: Params) -> tuple[int, float]:
     return (2 if r < 0.22 else 3 if r < 6 else 4), r
 
 
-def melting(s: Column | str, p: Params = Params()) -> Column:
-    """Melting temperature of the whole oligo."""
+def melting(s: Column | str, p: Params = Params(), sums: Column | None = None) -> Column:
+    """Melting temperature of the whole oligo. sums: its sums_within(), if known."""
     import math
 
     s = dna._c(s)
     regime, _ = salt_regime(p)
-    reciprocal, gc = 1 / tm_1m(s, p), dna.gc(s)
+    reciprocal, gc = 1 / tm_1m(s, p, sums), dna.gc(s) if sums is None else (sums["gc"] + F.right(s, F.lit(1)).isin("G", "C").cast("long")) / F.length(s)
     t = dict(tables.SALT)
     if regime == 2:
         ln = math.log(p.monovalent)

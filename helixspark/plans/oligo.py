@@ -12,14 +12,20 @@ from ..functions.thermo import Params
 
 
 def _windows(templates: DataFrame, key: str, seq: str, p: Params) -> DataFrame:
+    # A template has hundreds of windows, so templates of one small file are dealt out first.
+    # Sums over neighbours are made once for a template; each window takes a difference.
     n = F.length(seq)
-    starts = templates.select(key, seq, F.explode(dna.positions(n - p.min_length)).alias("l"))
-    return starts.select(key, seq, "l", F.explode(F.sequence(F.lit(p.min_length), F.least(F.lit(p.max_length), n - F.col("l")))).alias("n")).withColumn("oligo", dna.substr(seq, F.col("l"), F.col("n")))
+    templates = templates.repartition(int(templates.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    starts = templates.select(key, seq, thermo.neighbour_sums(seq).alias("__sums")).select(key, seq, "__sums", F.explode(dna.positions(n - p.min_length)).alias("l"))
+    lengths = F.sequence(F.lit(p.min_length), F.least(F.lit(p.max_length), n - F.col("l")))
+    windows = F.transform(lengths, lambda k: F.struct(k.alias("n"), thermo.sums_within(F.col("__sums"), F.col("l"), k).alias("sums")))
+    windows = starts.select(key, seq, "l", F.explode(windows).alias("__w")).select(key, seq, "l", F.col("__w.n").alias("n"), F.col("__w.sums").alias("__sums"))
+    return windows.withColumn("oligo", dna.substr(seq, F.col("l"), F.col("n")))
 
 
 def candidates(templates: DataFrame, target: float, key: str = "id", seq: str = "seq", p: Params = Params()) -> DataFrame:
     """key, l, n, oligo, tm, penalty of the windows that may do: near the target temperature, without CCCC."""
-    w = _windows(templates, key, seq, p).filter(~F.col("oligo").contains("CCCC")).withColumn("tm", thermo.melting("oligo", p))
+    w = _windows(templates, key, seq, p).filter(~F.col("oligo").contains("CCCC")).withColumn("tm", thermo.melting("oligo", p, F.col("__sums")))
     w = w.filter(F.abs(F.col("tm") - target) <= p.tm_max_difference)
     middle, centre = F.length(seq) / 2, F.col("l") + F.col("n") / 2
     score = F.abs(centre - middle) / p.position_penalty + F.when(F.right("oligo", F.lit(1)).isin("A", "T"), p.at_penalty).otherwise(0.0) + F.abs(F.col("tm") - target) / p.tm_penalty + F.abs(F.col("n") - p.target_length) / p.length_penalty

@@ -182,10 +182,6 @@ def _(spark, sf):
     return sequences(spark, sf).select("id", thermo.rule_of_thumb(gc, F.length(s)).cast("int").alias("tm"))
 
 
-def _templates(spark, sf):
-    return sequences(spark, sf).filter("id % 40 = 0").select("id", F.substring("seq", 1, 30).alias("seq"))
-
-
 _CAND = f"""{with_('seqs')}, w AS (SELECT id, 30 AS len, l, n, substr(seq, l + 1, n) AS s FROM seqs, (SELECT unnest(range(11)) AS l) a, (SELECT unnest(range(20, 31)) AS n) b WHERE id % 40 = 0 AND l + n <= 30),
     c AS (SELECT *, {_sql_melting('s')} AS tm FROM w WHERE NOT contains(s, 'CCCC')),
     f AS (SELECT id, l, n, s AS oligo, tm, abs(l + n / 2.0 - 15) / 5.0 + CASE WHEN right(s, 1) IN ('A', 'T') THEN 3.0 ELSE 0 END + abs(tm - 60) + abs(n - 20) / 3.0
@@ -195,13 +191,13 @@ _CAND = f"""{with_('seqs')}, w AS (SELECT id, 30 AS len, l, n, substr(seq, l + 1
 
 @register("primer_candidates", f"{_CAND} SELECT id, l, n, oligo, round(tm, 6) AS tm, round(CAST(penalty AS DOUBLE), 6) AS penalty FROM f")
 def _(spark, sf):
-    c = oligo.candidates(_templates(spark, sf), 60.0)
+    c = oligo.candidates(sequences(spark, sf), 60.0)
     return c.select("id", F.col("l").cast("long").alias("l"), F.col("n").cast("long").alias("n"), "oligo", F.round("tm", 6).alias("tm"), F.round("penalty", 6).alias("penalty"))
 
 
 @register("primer_best", f"{_CAND} SELECT id, oligo FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(CAST(penalty AS DOUBLE), 9), l, n) = 1")
 def _(spark, sf):
-    return oligo.best(oligo.candidates(_templates(spark, sf), 60.0)).select("id", "oligo")
+    return oligo.best(oligo.candidates(sequences(spark, sf), 60.0)).select("id", "oligo")
 
 
 @register("oligo_left")
@@ -211,7 +207,7 @@ def _(spark, sf):
 
 @register("oligo_compromise")
 def _(spark, sf):
-    return oligo.compromised(_templates(spark, sf), 68.0).select("id", "step", "oligo", F.round("tm", 6).alias("tm"))
+    return oligo.compromised(sequences(spark, sf), 68.0).select("id", "step", "oligo", F.round("tm", 6).alias("tm"))
 
 
 # -- statistics

@@ -1,10 +1,15 @@
 """Queries over whole inputs against plain Python: no prefix, no subset of identifiers, no first rows only."""
 
+import math
+import re
+
+import pytest
 from conftest import SF
 
-from helixspark import queries_dna
-from helixspark.functions import dna
-from helixspark.plans.synth import table
+from helixspark import queries_dna, queries_misc
+from helixspark.functions import dna, tables, thermo
+from helixspark.plans import oligo
+from helixspark.plans.synth import sequences, table
 
 
 def test_wrap_other_line_ends(spark):
@@ -18,3 +23,78 @@ def test_fasta_format60(spark):
     texts = {r.doc_id: r.text.replace("\n", " ") for r in table(spark, SF, "documents").collect()}
     assert max(map(len, texts.values())) > 180
     assert found == {k: "\n".join(t[i : i + 60] for i in range(0, len(t), 60)) for k, t in texts.items()}
+
+
+def melting(s):
+    """Degrees of an oligo in mixed salt, one neighbour after the other."""
+    p = thermo.Params()
+    pairs = [s[i : i + 2] for i in range(len(s) - 1)]
+    h = sum(tables.NN_H[x] for x in pairs) + tables.END_H[s[0]] + tables.END_H[s[-1]]
+    e = sum(tables.NN_S[x] for x in pairs) + tables.END_S[s[0]] + tables.END_S[s[-1]]
+    own = s == s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    kelvin = 1000 * h / (e + (-1.4 if own else 0) + tables.GAS * math.log(p.primer if own else thermo.strand_concentration(p.primer, p.template)))
+    t, ln, m = dict(tables.SALT), math.log(p.divalent), math.log(p.monovalent)
+    t["a"] *= 0.843 - 0.352 * p.monovalent**0.5 * m
+    t["d"] *= 1.279 - 4.03e-3 * m - 8.03e-3 * m * m
+    t["g"] *= 0.486 - 0.258 * m + 5.25e-3 * m**3
+    gc = sum(c in "GC" for c in s) / len(s)
+    return 1 / (1 / kelvin + t["a"] + t["b"] * ln + gc * (t["c"] + t["d"] * ln) + (t["e"] + t["f"] * ln + t["g"] * ln * ln) / (2 * (len(s) - 1))) - 273.15
+
+
+def windows(seq, target, least=20, spread=5.0):
+    """(l, n, oligo): (tm, penalty) of every window that may do."""
+    out = {}
+    for n in range(least, min(60, len(seq)) + 1):
+        for at in range(len(seq) - n + 1):
+            s = seq[at : at + n]
+            if "CCCC" in s or abs((tm := melting(s)) - target) > spread:
+                continue
+            end = s[-5:]
+            stable = sum(tables.DELTA_G_END[end[i : i + 2]] for i in range(4)) + tables.INIT_G_END[s[-1]] > -9.0
+            penalty = abs(at + n / 2 - len(seq) / 2) / 5 + 3 * (s[-1] in "AT") + abs(tm - target) + abs(n - 20) / 3 + 5 * (not stable) + 10 * bool(re.search(r"(.)\1{4}|(..)\2{4}", s))
+            out[at, n, s] = tm, penalty
+    return out
+
+
+def seqs(spark):
+    return {r.id: r.seq for r in sequences(spark, SF).collect()}
+
+
+def test_primer_candidates_and_best(spark):
+    whole = seqs(spark)
+    want = {k: windows(s, 60.0) for k, s in whole.items()}
+    found = {}
+    for r in queries_misc.QUERIES["primer_candidates"](spark, SF).collect():
+        found.setdefault(r.id, {})[r.l, r.n, r.oligo] = r.tm, r.penalty
+    assert any(k % 40 for k in found)
+    assert max(at + n for v in found.values() for at, n, _ in v) == 64
+    assert found.keys() == {k for k, v in want.items() if v}
+    for k, v in found.items():
+        assert v.keys() == want[k].keys()
+        assert all(x == pytest.approx(want[k][w], abs=2e-6) for w, x in v.items())
+    best = {k: min((round(p, 9), at, n, s) for (at, n, s), (_, p) in v.items())[3] for k, v in want.items() if v}
+    assert {r.id: r.oligo for r in queries_misc.QUERIES["primer_best"](spark, SF).collect()} == best
+
+
+def test_oligo_compromise(spark):
+    whole = seqs(spark)
+    found = {r.id: r for r in queries_misc.QUERIES["oligo_compromise"](spark, SF).collect()}
+    for k in sorted(whole)[:60]:
+        s = whole[k]
+        gc = sum(c in "GC" for c in s) / len(s)
+        rungs = oligo.ladder("low" if gc < 0.4 else "high" if gc > 0.6 else "medium", thermo.Params())
+        own = windows(s, 68.0, 18, 10.0)
+        fits = lambda q, n, tm: q.min_length <= n <= q.max_length and abs(tm - 68.0) <= q.tm_max_difference
+        ranked = [(i, round(p, 9), at, n, o) for i, q in enumerate(rungs) for (at, n, o), (tm, p) in own.items() if fits(q, n, tm)]
+        want = min(ranked, default=None)
+        assert (k in found) == (want is not None)
+        if want:
+            assert (found[k].step, found[k].oligo) == (want[0], want[4])
+
+
+def test_windows_of_unknown_bases(spark):
+    s = "ACGTTGCAAGCTTACCGGATTACAGC"
+    df = spark.createDataFrame([(1, s + "x" + s), (2, s), (3, s[:12] + "N" + s[12:])], "id long, seq string")
+    found = oligo.candidates(df, 60.0, p=thermo.Params(tm_max_difference=30.0)).withColumn("plain", thermo.melting("oligo")).collect()
+    assert {r.id for r in found} == {1, 2, 3} and any(r.l > len(s) for r in found) and not any("x" in r.oligo for r in found)
+    assert all(r.tm == pytest.approx(r.plain, abs=1e-9) for r in found)
