@@ -6,10 +6,10 @@ import re
 import pytest
 from conftest import SF
 
-from helixspark import queries_dna, queries_misc
+from helixspark import queries_dna, queries_misc, queries_plans
 from helixspark.functions import dna, tables, thermo
 from helixspark.plans import oligo
-from helixspark.plans.synth import sequences, table
+from helixspark.plans.synth import genome, sequences, table
 
 
 def test_wrap_other_line_ends(spark):
@@ -98,3 +98,60 @@ def test_windows_of_unknown_bases(spark):
     found = oligo.candidates(df, 60.0, p=thermo.Params(tm_max_difference=30.0)).withColumn("plain", thermo.melting("oligo")).collect()
     assert {r.id for r in found} == {1, 2, 3} and any(r.l > len(s) for r in found) and not any("x" in r.oligo for r in found)
     assert all(r.tm == pytest.approx(r.plain, abs=1e-9) for r in found)
+
+
+COMPLEMENT = str.maketrans("ACGT", "TGCA")
+
+
+def other(s):
+    return s[::-1].translate(COMPLEMENT)
+
+
+def chromosomes(spark):
+    return {r.chr: r.seq for r in genome(spark, SF).collect()}
+
+
+def sites(g, s):
+    """(chr, pos) of a word."""
+    return [(c, i) for c, t in g.items() for i in range(len(t) - len(s) + 1) if t.startswith(s, i)]
+
+
+def placed(spark, g):
+    """Primer of every part: primer_id: (chr, primer)."""
+    low, out = min(g), {}
+    for k in seqs(spark):
+        c = low + k % len(g)
+        w = g[c][k % 900 : k % 900 + 20]
+        out[k] = c, other(w) if k % 2 else w
+    return out
+
+
+def test_pcr_primer_hits(spark):
+    g = chromosomes(spark)
+    want = sorted((k, c, i, fwd) for k, (_, p) in placed(spark, g).items() for fwd, s in ((True, p), (False, other(p))) for c, i in sites(g, s))
+    found = sorted((r.primer_id, r.chr, r.pos, r.fwd) for r in queries_plans.QUERIES["pcr_primer_hits"](spark, SF).collect())
+    assert {r[0] for r in found} == set(seqs(spark))
+    assert found == want
+
+
+def test_pcr_products_and_unique(spark):
+    g = chromosomes(spark)
+    want = {}
+    for k, (c, _) in placed(spark, g).items():
+        a, b = g[c][k % 400 : k % 400 + 18], other(g[c][k % 400 + 120 : k % 400 + 138])
+        f, r = (a, b) if k % 2 == 0 else (b, a)
+        for fwd in (True, False):
+            left, right = (f, other(r)) if fwd else (r, other(f))
+            for own, at in sites(g, f if fwd else other(f)):
+                ends = [(i + 18 - at, at, i + 17) if fwd else (at + 18 - i, i, at + 17) for x, i in sites(g, right if fwd else left) if x == own and (i >= at + 18 if fwd else at >= i + 18)]
+                if ends:
+                    n, lo, hi = min(ends)
+                    want[k, own, lo, hi, n] = want.get((k, own, lo, hi, n), False) or fwd
+    found = {(r.pair_id, r.chr, r.l, r.r, r.n): r.fwd for r in queries_plans.QUERIES["pcr_products"](spark, SF).collect()}
+    assert {x[0] for x in found} == set(seqs(spark))
+    assert found == want
+    by_pair = {}
+    for x in sorted(want):
+        by_pair.setdefault(x[0], []).append(x)
+    unique = {v[0][:4] for v in by_pair.values() if len(v) == 1 or len(v) == 2 and v[0][1] == v[1][1] and abs(v[0][4] - v[1][4]) <= 10}
+    assert {tuple(r) for r in queries_plans.QUERIES["pcr_unique"](spark, SF).select("pair_id", "chr", "l", "r").collect()} == unique
