@@ -108,10 +108,10 @@ def _(spark, sf):
 
 @register("dna_order", f"{_S} SELECT id, row_number() OVER (ORDER BY length(s), s, id) AS rank FROM (SELECT id, substr(seq, 1, CAST(id % 40 + 1 AS BIGINT)) AS s FROM seqs) ORDER BY rank LIMIT 100")
 def _(spark, sf):
-    from .plans.text import ranked_first
+    from .plans.text import ranked
 
     s = F.substring("seq", F.lit(1), (F.col("id") % 40 + 1).cast("int"))
-    return ranked_first(sequences(spark, sf).select("id", s.alias("s")), [*dna.dna_order("s"), F.col("id")], 100).select("id", "rank")
+    return ranked(sequences(spark, sf).select("id", s.alias("s")), [*dna.dna_order("s"), F.col("id")]).select("id", "rank")
 
 
 @register("fasta_format60", "SELECT doc_id, substr(t, 1, 60) || CASE WHEN length(t) > 60 THEN chr(10) || substr(t, 61, 60) ELSE '' END || CASE WHEN length(t) > 120 THEN chr(10) || substr(t, 121) ELSE '' END AS wrapped FROM (SELECT doc_id, substr(replace(text, chr(10), ' '), 1, 180) AS t FROM documents)")

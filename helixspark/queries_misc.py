@@ -74,9 +74,9 @@ def _(spark, sf):
 
 @register("vcf_sort", f"{_V} SELECT okey, line, row_number() OVER (ORDER BY chr, pos, okey, line) AS rank FROM variants ORDER BY rank LIMIT 500")
 def _(spark, sf):
-    from .plans.text import ranked_first
+    from .plans.text import ranked
 
-    return ranked_first(variants(spark, sf).select("chr", "pos", "okey", "line"), [F.col(c) for c in ("chr", "pos", "okey", "line")], 500).select("okey", "line", "rank")
+    return ranked(variants(spark, sf).select("chr", "pos", "okey", "line"), [F.col(c) for c in ("chr", "pos", "okey", "line")]).select("okey", "line", "rank")
 
 
 @register("variants_in_range", f"{_V} SELECT okey, line FROM variants WHERE chr = 3 AND pos BETWEEN 1000 AND 30000")

@@ -5,11 +5,12 @@ import re
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from helixspark import queries_dna, queries_misc, queries_plans
 from helixspark.functions import dna, tables, thermo
-from helixspark.plans import oligo
-from helixspark.plans.synth import genome, sequences, table
+from helixspark.plans import oligo, text
+from helixspark.plans.synth import genome, sequences, table, variants
 
 
 def test_wrap_other_line_ends(spark):
@@ -155,3 +156,25 @@ def test_pcr_products_and_unique(spark):
         by_pair.setdefault(x[0], []).append(x)
     unique = {v[0][:4] for v in by_pair.values() if len(v) == 1 or len(v) == 2 and v[0][1] == v[1][1] and abs(v[0][4] - v[1][4]) <= 10}
     assert {tuple(r) for r in queries_plans.QUERIES["pcr_unique"](spark, SF).select("pair_id", "chr", "l", "r").collect()} == unique
+
+
+def test_vcf_sort(spark):
+    want = sorted(tuple(r) for r in variants(spark, SF).select("chr", "pos", "okey", "line").collect())
+    found = sorted((r["rank"], r.okey, r.line) for r in queries_misc.QUERIES["vcf_sort"](spark, SF).collect())
+    assert len(want) > 500
+    assert found == [(i, *r[2:]) for i, r in enumerate(want, 1)]
+
+
+def test_dna_order(spark):
+    want = sorted((k % 40 + 1, s[: k % 40 + 1], k) for k, s in seqs(spark).items())
+    found = sorted((r["rank"], r.id) for r in queries_dna.QUERIES["dna_order"](spark, SF).collect())
+    assert len(want) > 100
+    assert found == [(i, r[2]) for i, r in enumerate(want, 1)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 1000])
+def test_ranked(spark, n):
+    rows = [((i * 7919) % n, None if i == 1 else i) for i in range(n)]
+    found = text.ranked(spark.createDataFrame(rows, "a long, b long").repartition(3), [F.col("b").desc_nulls_last(), F.col("a")])
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0)))
+    assert sorted((r["rank"], r.a, r.b) for r in found.collect()) == [(i, *r) for i, r in enumerate(want, 1)]
