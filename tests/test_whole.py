@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixspark import queries_dna, queries_misc, queries_plans
 from helixspark.functions import dna, tables, thermo
+from helixspark.operators import alignment
 from helixspark.plans import oligo, text
 from helixspark.plans.synth import genome, sequences, table, variants
 
@@ -178,3 +179,38 @@ def test_ranked(spark, n):
     found = text.ranked(spark.createDataFrame(rows, "a long, b long").repartition(3), [F.col("b").desc_nulls_last(), F.col("a")])
     want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0)))
     assert sorted((r["rank"], r.a, r.b) for r in found.collect()) == [(i, *r) for i, r in enumerate(want, 1)]
+
+
+def test_sw_align(spark):
+    found = {r.id: (r.aligned, r.a, r.b, r.score) for r in queries_misc.QUERIES["sw_align"](spark, SF).collect()}
+    assert found == {k: alignment.align(s, s[:30] + "A" + s[30:], 10, 20) for k, s in seqs(spark).items()}
+
+
+def maximal(s, t, least):
+    """(q, t, n) of every maximal exact match, one diagonal after the other."""
+    for d in range(-len(s) + 1, len(t)):
+        n = 0
+        for q in range(max(0, -d), min(len(s), len(t) - d) + 1):
+            if q < min(len(s), len(t) - d) and s[q] == t[q + d]:
+                n += 1
+                continue
+            if n >= least:
+                yield q - n, q - n + d, n
+            n = 0
+
+
+def test_exact_match_genome_and_group_matches(spark):
+    g, want = chromosomes(spark), []
+    for k, seq in g.items():
+        q = seq[100:140] + "ACGTTGCA" + seq[160:200]
+        want += [(k, c, fwd, *m) for fwd, s in ((True, q), (False, other(q))) for c, t in g.items() for m in maximal(s, t, 20)]
+    columns = ("query_id", "chr", "fwd", "q_l", "t_l", "n")
+    found = sorted(tuple(r) for r in queries_misc.QUERIES["exact_match_genome"](spark, SF).select(*columns).collect())
+    assert {r[0] for r in found} == set(g)
+    assert found == sorted(want)
+    clusters, last = [], {}
+    for r in sorted(want, key=lambda r: (*r[:3], r[4] - r[3], r[3])):
+        d, number = last.get(r[:3], (r[4] - r[3], 0))
+        last[r[:3]] = (r[4] - r[3], number + (r[4] - r[3] - d > 15))
+        clusters.append((*r, last[r[:3]][1]))
+    assert sorted(tuple(r) for r in queries_misc.QUERIES["group_matches"](spark, SF).select(*columns, "cluster").collect()) == sorted(clusters)
