@@ -49,8 +49,7 @@ def _hash(text: str) -> int:
 
 
 def classes_of(word: str) -> tuple[int, int]:
-    """The class of a word's letters and that of its shape."""
-    word = word[:64]
+    """The class of a word's letters and that of its shape, both of the whole word however long it is."""
     end = word[-1:]
     core = word[:-1] if end in _ENDS else word
     if core.isalpha():  # the common case, without patterns
