@@ -2,7 +2,8 @@
 
 Pieces are dealt into blocks of bounded size. For each block several islands evolve a population of packings: crossover
 takes whole well-filled bins of one parent into the other, drops the bins there that hold one of the same pieces, and
-best-fits what was displaced, longest first. Between epochs each island sends its elite to the next. The best packing of a
+best-fits what was displaced, longest first. The first population is made by best-fit of the pieces, longest first and in
+noisy orders; where one of these has no more bins than the pieces' sum needs, no child is made. Between epochs each island sends its elite to the next. The best packing of a
 block then keeps its well-filled bins, and the pieces of all other bins, of all blocks, are dealt into new blocks and
 evolved again, starting from the bins they were in, until one block is left. Pieces of full length are sequences by
 themselves. Blocks depend on the written table of pieces, so a task that runs again gives the same packing.
@@ -177,57 +178,6 @@ def best_fit(order, lengths: list[int], assign: np.ndarray, free: list[int], cap
             bins.append(b)
 
 
-def fill_bins(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """A packing bin by bin: the longest piece left, then again and again the one or two that leave the least room."""
-    by_length: dict[int, list[int]] = {}
-    for i, n in enumerate(lengths.tolist()):
-        by_length.setdefault(n, []).append(i)
-    have = np.zeros(capacity + 1, dtype=np.int64)
-    for n, own in by_length.items():
-        have[n] = len(own)
-    values = np.arange(capacity + 1)
-    assign, bins = np.full(len(lengths), -1, dtype=np.int32), 0
-    below = np.maximum.accumulate(np.where(have > 0, values, 0))  # the longest that is there, up to each length
-    left = len(lengths)
-
-    def take(n: int) -> None:
-        nonlocal left
-        assign[by_length[n].pop()] = bins
-        have[n] -= 1
-        left -= 1
-        if not have[n]:  # those up to the next one that is there
-            low, at = below[n - 1], n
-            while at <= capacity and below[at] == n:
-                at += 64
-            at = min(at, capacity + 1)
-            part = below[n:at]
-            part[part == n] = low
-
-    while left:
-        room = capacity
-        n = int(below[room])
-        while n:
-            take(n)
-            room -= n
-            one = int(below[room]) if room else 0
-            if not one or one == room:
-                n = one
-                continue
-            first = np.flatnonzero(have[: room + 1])
-            second = below[room - first]
-            second = np.where((second == first) & (have[first] < 2), below[np.maximum(second - 1, 0)], second)
-            both = np.where(second > 0, first + second, 0)
-            k = int(both.argmax())
-            if both[k] > one:
-                take(int(first[k]))
-                room -= int(first[k])
-                n = int(second[k])
-            else:
-                n = one
-        bins += 1
-    return assign
-
-
 def rooms(assign: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
     return capacity - np.bincount(assign, weights=lengths).astype(np.int64)
 
@@ -263,12 +213,12 @@ def cross(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int, rng:
 
 
 def first_population(lengths: np.ndarray, old: np.ndarray | None, capacity: int, rng: np.random.Generator, size: int) -> list[np.ndarray]:
-    out = [fill_bins(lengths, capacity)]
+    out = []
     if old is not None:
         out.append(np.unique(old, return_inverse=True)[1].astype(np.int32))
     own = lengths.tolist()
     while len(out) < size:
-        noise = rng.uniform(0.9, 1.1, len(lengths)) if len(out) > 1 + (old is not None) else 1.0
+        noise = rng.uniform(0.9, 1.1, len(lengths)) if len(out) > (old is not None) else 1.0
         assign = np.full(len(lengths), -1, dtype=np.int32)
         best_fit(np.argsort(-lengths * noise, kind="stable").tolist(), own, assign, [], capacity)
         out.append(assign)

@@ -1,8 +1,8 @@
-"""Whole words, however long."""
+"""Whole words, however long, and packings by the method itself."""
 
 import numpy as np
 
-from helixspark.llm import classifier
+from helixspark.llm import classifier, packing
 
 
 def test_classes_of_long_words():
@@ -17,3 +17,12 @@ def test_texts_of_one_long_word():
     vectors = rng.normal(size=(classifier.CLASSES, classifier.DIM)).astype(np.float32)
     a, b = classifier.pool(["漢" * 100 + "字", "漢" * 100 + "文"], vectors)
     assert not np.array_equal(a, b)
+
+
+def test_packing_starts_from_best_fit():
+    lengths = np.random.default_rng(1).integers(1, 1500, 400)
+    first = packing.first_population(lengths, None, 2048, np.random.default_rng(2), 4)
+    want = np.full(len(lengths), -1, dtype=np.int32)
+    packing.best_fit(np.argsort(-lengths, kind="stable").tolist(), lengths.tolist(), want, [], 2048)
+    assert np.array_equal(first[0], want)
+    assert len({x.tobytes() for x in first}) == 4
