@@ -1,8 +1,8 @@
 """Exact dedup over a log-structured merge index, in DataFrame operations only.
 
 Memtables are flushed as runs: for each memtable and digest the identifier that stays and the number of rows, sorted by
-digest, written as Parquet with Bloom filters on the digest. Compaction merges the runs of all memtables by digest. A
-digest that more than one row has is a hit, and hits get byte verification: every row of a memtable against that
+digest, written as Parquet with Bloom filters on the digest. Compaction merges several runs by memtable and digest;
+exact_dedup() flushes once, so there is one run and nothing to merge, and the Bloom filters are not probed. A digest that more than one row has is a hit, and hits get byte verification: every row of a memtable against that
 memtable's representative, and the representatives of all memtables against the one of the row that stays. A group of
 copies is thus spread over as many tasks as there are memtables, and what meets in one place is one row for each memtable.
 If texts under one digest differ (forced in the tests by short digests), the rows of that digest are grouped by the text.

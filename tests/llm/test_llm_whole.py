@@ -1,8 +1,9 @@
 """Whole words, however long, and packings by the method itself."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from helixspark.llm import classifier, packing
+from helixspark.llm import classifier, exact_dedup, packing
 
 
 def test_classes_of_long_words():
@@ -26,3 +27,16 @@ def test_packing_starts_from_best_fit():
     packing.best_fit(np.argsort(-lengths, kind="stable").tolist(), lengths.tolist(), want, [], 2048)
     assert np.array_equal(first[0], want)
     assert len({x.tobytes() for x in first}) == 4
+
+
+def test_several_flushes_are_compacted(spark):
+    rows = spark.range(60).select("id", (F.col("id") % 2).cast("int").alias("memtable"), F.sha2((F.col("id") % 40).cast("string"), 256).cast("binary").alias("digest"))
+    index = exact_dedup.DigestIndex(spark)
+    for k in range(3):
+        index.flush(rows.filter(F.col("id") % 3 == k))
+    apart = sorted(map(tuple, index.hits().select("digest", "keep", "n").distinct().collect()))
+    assert len(index.runs) == 3
+    index.compact()
+    assert len(index.runs) == 1
+    assert sorted(map(tuple, index.hits().select("digest", "keep", "n").distinct().collect())) == apart
+    assert sorted((keep, n) for _, keep, n in apart) == [(k, 2) for k in range(20)]
