@@ -1,13 +1,17 @@
 """Near-duplicate documents by MinHash bands, sequential Bayesian verification and exact verification.
 
-Documents with the same set of shingles form a class, and only classes are compared. Classes that share a band of their
-MinHash signatures are candidates. In each bucket, first all members are paired with two hubs (the smallest member, and one
-that differs from bucket to bucket), which is linear in the bucket's size. Pairs are checked batch by batch of the
-signature and given up once the posterior probability of reaching the similarity falls below MISS; the survivors are
-verified on the full sets. Links make components. Buckets that still hold several components are gone through for pairs
-between different components, in blocks of bounded size, again by signature batches: first the most alike of each, then
-all that are left. No candidate is dropped other than by the posterior bound. The chance that a pair of exactly the least
-similarity shares no band is (1 - least ** ROWS) ** BANDS, 5e-6 at 0.8.
+Documents with the same sequence of words form a class, and only classes are compared. Classes that share a band of their
+MinHash signatures are candidates. First each class is paired with the smallest class of all its buckets, one pair for each
+class. Pairs are checked batch by batch of the signature and given up once the posterior probability of reaching the
+similarity falls below MISS; the survivors are verified on the full sets of shingles, word by word. Links make components.
+Buckets that still hold several components are gone through for pairs between different components, in blocks of bounded
+size, again by signature batches: first the most alike of each class, of the smaller component, and then, in buckets where
+these weren't all, everything that is left. No candidate is dropped other than by the posterior bound. The chance that a pair of exactly the
+least similarity shares no band is (1 - least ** ROWS) ** BANDS, 5e-6 at 0.8.
+
+Texts and signatures reach their pairs in one sorted exchange, the hub of many pairs before its partners, and are read as a
+stream: a task holds one hub and one batch. Hubs with many pairs are dealt over parts, as are the copies of one text and the
+classes of one component.
 
 Defined results: null and empty texts, and those without words, have no shingles and are linked with nothing. Null identifiers
 take part but are never the smallest of a component that has others. Repeated rows have equal sets and so one component. Very long texts are
@@ -18,16 +22,17 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap_of, in_bitmap, ship, staged, text_of, without
+from .common import bitmap_of, in_bitmap, release, ship, staged, text_of, without
 from .components import components
 from .words import remembers, slices, turn_of
 
@@ -39,10 +44,14 @@ BATCH = 40
 MISS = 1e-7
 #: Members of a bucket that one block holds.
 BLOCK = 4096
-#: Pairs for each class that the passes over unlike buckets take; None takes all that are left.
-PASSES = (4, None)
+#: Shingles that one block holds on average.
+BLOCK_SHINGLES = 1 << 22
+#: Pairs for each class that the first pass over unlike buckets takes.
+FIRST = 4
 #: Pairs of one hub that one part holds.
 DEALT = 2048
+#: Parts into which the rows of one class or component are dealt.
+SALTS = 16
 
 
 class _Hashes:
@@ -79,7 +88,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the runs of k words of each text, A-Z in lower case; fewer words are one run."""
-    split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    split = [words(t) for t in texts]
     h = _hashes([w for ws in split for w in ws])
     odd = np.random.default_rng(3).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     out, at = [], 0
@@ -98,8 +107,19 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     return out
 
 
-def class_key(shingles: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+def words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def class_key(text: str) -> bytes:
+    """A cryptographic digest of the sequence of words."""
+    return hashlib.blake2b(b" ".join(words(text)), digest_size=16).digest()
+
+
+def exact_set(text: str, k: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves."""
+    ws = words(text)
+    return set(zip(*(ws[i:] for i in range(min(k, len(ws)))), strict=False))
 
 
 @lru_cache(1)
@@ -178,76 +198,205 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
                     for i, own, key in zip(full, sig.astype(np.uint8), keys, strict=True):
                         bands[i], sigs[i] = key, own.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(part)), pa.array(list(map(len, sets)), pa.int64()), pa.array([class_key(s) if len(s) else None for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=schema.names
+                    [ids.slice(at, len(part)), pa.array(list(map(len, sets)), pa.int64()), pa.array([class_key(t) if len(s) else None for t, s in zip(part, sets, strict=True)], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=schema.names
                 )
                 at += len(part)
 
     return docs.mapInArrow(run, schema)
 
 
-def _full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """id, key, shingles of each document."""
-    schema = T.StructType([docs.schema["id"], *T._parse_datatype_string("key binary, shingles array<long>").fields])
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """cid, a, part, role of all that the pairs (a, b) need: a itself (role 0) once in each part, and its partners (role 1)."""
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("parts")).filter("parts > 1")
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
+    sided = pairs.join(hubs.withColumnRenamed("a", "hot"), F.col("a") == F.col("hot"), "left").select("a", "b", part.alias("part"))
+    heads = sided.select(F.col("a").alias("cid"), "a", "part", F.lit(0).alias("role")).distinct()
+    return heads.unionByName(sided.select(F.col("b").alias("cid"), "a", "part", F.lit(1).alias("role")))
 
-    def run(batches):
-        for batch in batches:
-            ids, at = batch.column(0), 0
-            for part in slices(batch.column(1).to_pylist(), 1 << 19):
-                sets = shingle_sets(part, k)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(map(class_key, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=schema.names)
-                at += len(part)
 
-    return docs.mapInArrow(run, schema)
+def _some(df: DataFrame, col: str, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of df that may be wanted: those whose bit is set in a bitmap of the keys, and those without a key."""
+    return in_bitmap(df, col, bitmap_of(wanted, key)).unionByName(df.filter(F.col(col).isNull()))
 
 
-def _same_size(a: str, b: str, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
+def _given(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that the signatures don't give up, written."""
+    percent = round(least * 100)
+    dealt = staged(_dealt(pairs), "minhash-dealt")
+    own = _some(classes.select(F.col("cid").alias("c"), "n_shingles", "sig"), "c", dealt, "cid")
+    rows = dealt.join(own, dealt["cid"] == own["c"]).select("a", "part", "role", "cid", "n_shingles", "sig")
 
-def _met(pairs: DataFrame, own: DataFrame, names: list[str]) -> DataFrame:
-    """pairs (a, b) with the columns of both sides from own (cid, names): name_a, name_b. Hubs with many pairs are dealt over several parts."""
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("parts"))
-    hot = hubs.filter("parts > 1").withColumnRenamed("a", "hot")
-    sided = pairs.join(hot, F.col("a") == F.col("hot"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-    sided = sided.join(own.select(F.col("cid").alias("b"), *(F.col(x).alias(f"{x}_b") for x in names)), "b")
-    left = own.join(hubs, own["cid"] == hubs["a"]).select("a", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), *(F.col(x).alias(f"{x}_a") for x in names))
-    return sided.join(left, ["a", "part"])
+    def run(batches):
+        held = None  # the hub of the rows to come: a, n_shingles, sig
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, _, role, cid, n = (batch.column(i).to_numpy() for i in range(5))
+            sig = _bytes(batch.column(5))
+            if held:
+                a, role, cid, n = np.r_[held[0], a], np.r_[0, role], np.r_[held[0], cid], np.r_[held[1], n]
+                sig = np.concatenate([held[2][None], sig])
+            hub = np.maximum.accumulate(np.where(role == 0, np.arange(len(a)), 0))
+            held = a[hub[-1]], n[hub[-1]], sig[hub[-1]].copy()
+            at = np.flatnonzero((role == 1) & (np.minimum(n, n[hub]) * 100 >= np.maximum(n, n[hub]) * percent))
+            for k in range(0, len(at), 8192):
+                own = at[k : k + 8192]
+                own = own[alike(sig[hub[own]], sig[own], least)]
+                yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(cid[own])], names=["a", "b"])
+
+    found = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a long, b long")
+    found = staged(found, "minhash-given")
+    release(dealt)
+    return found
 
 
-def _given(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) that the signatures don't give up."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
+    """The pairs whose full sets reach the similarity, written. Texts come along, so that no hash decides."""
     percent = round(least * 100)
-    both = _met(pairs, classes.select("cid", "n_shingles", "sig"), ["n_shingles", "sig"]).filter(_same_size("n_shingles_a", "n_shingles_b", percent)).select("a", "b", "sig_a", "sig_b")
+    named = classes.select(F.col("cid").alias("c"), "key", "rep_id")
+    dealt = _dealt(pairs).join(named, F.col("cid") == F.col("c")).select("a", "part", "role", "cid", "key", "rep_id")
+    dealt = staged(dealt, "minhash-wanted")
+    rows = _some(docs, "id", dealt, "rep_id").join(dealt, F.col("id").eqNullSafe(F.col("rep_id"))).select("a", "part", "role", "cid", "key", "text")
 
     def run(batches):
+        hub, own = None, set()
         for batch in batches:
-            if batch.num_rows:
-                yield batch.select(["a", "b"]).take(pa.array(alike(_bytes(batch.column(2)), _bytes(batch.column(3)), least)))
+            out_a, out_b = [], []
+            for a, role, cid, key, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+                if class_key(text) != key:
+                    continue  # another row of this identifier
+                if role == 0:
+                    if hub != a:
+                        hub, own = a, exact_set(text, k)
+                    continue
+                other = exact_set(text, k)
+                common = len(own & other)
+                if 100 * common >= percent * (len(own) + len(other) - common):
+                    out_a.append(a)
+                    out_b.append(cid)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    found = staged(rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a long, b long"), "minhash-links")
+    release(dealt)
+    return found
+
+
+def _whole_groups(batches, keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, rows of which have the same first so many columns and follow each other."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        new = np.zeros(t.num_rows - 1, dtype=bool)
+        for i in range(keys):
+            c = t.column(i).to_numpy()
+            new |= c[1:] != c[:-1]
+        cut = np.flatnonzero(new)
+        if len(cut):
+            yield t.slice(0, cut[-1] + 1)
+        rest = t.slice(cut[-1] + 1) if len(cut) else t
+    if rest is not None:
+        yield rest
+
+
+def _places(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within groups of these sizes that follow each other: some tens of thousands of pairs at a time."""
+    starts = np.cumsum(sizes) - sizes
+    for n in np.unique(sizes):
+        if n < 2:
+            continue
+        first = starts[sizes == n]
+        if n <= 128:
+            i, j = np.triu_indices(n, 1)
+            step = max(1, 32768 // len(i))
+            for at in range(0, len(first), step):
+                own = first[at : at + step, None]
+                yield (own + i).ravel(), (own + j).ravel()
+        else:
+            for start in first:
+                for i in range(start, start + n - 1):
+                    j = np.arange(i + 1, start + n)
+                    yield np.full(len(j), i), j
+
+
+def _unlike_buckets(members: DataFrame, comps: DataFrame, classes: DataFrame, more: list[str]) -> DataFrame:
+    """members (bucket, cid) of the buckets that hold several components: bucket, x, y, own, cid, comp and columns of their classes.
+
+    Buckets are cut into blocks, and each pair of blocks (x, y) is a group of its own.
+    """
+    now = members.join(comps.select(F.col("v").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    now = now.join(classes.select("cid", "n_shingles"), "cid")
+    mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).filter("lo <> hi")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least("n", F.ceil(F.col("weight") / BLOCK_SHINGLES)))
+    rows = now.drop("n_shingles").join(mixed.select("bucket", blocks.cast("int").alias("blocks")), "bucket")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cid", "comp")
+    return rows.join(_some(classes.select("cid", *more), "cid", rows, "cid"), "cid").select("bucket", "x", "y", "own", "cid", "comp", *more)
 
-    return both.mapInArrow(run, "a long, b long")
 
+def _first_unlike(members: DataFrame, classes: DataFrame, comps: DataFrame, least: float) -> DataFrame:
+    """Pairs (bucket, a, b) between different components of a bucket that the signatures don't give up, written.
 
-def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """cid, shingles of the wanted classes (cid, distinct), from the texts of their representatives; written."""
-    wanted = staged(classes.select("cid", "key", "rep_id").join(wanted, "cid"), "minhash-wanted")
-    # Only texts whose identifier's bit is set are read on; rows without an identifier are looked at in any case.
-    found = in_bitmap(docs, "id", bitmap_of(wanted, "rep_id")).unionByName(docs.filter("id IS NULL"))
-    sets = _full_sets(found, k).join(wanted, "key").filter(F.col("id").eqNullSafe(F.col("rep_id"))).select("cid", "shingles")
-    return staged(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "minhash-sets")
+    Of the smaller component's classes each has its FIRST most alike partners; where it has more, a row with null pairs names the bucket.
+    """
+    percent = round(least * 100)
+    rows = _unlike_buckets(members, comps, classes, ["n_shingles", "sig"])
 
+    def run(batches):
+        for t in _whole_groups(batches, 3):
+            bucket, x, y, own, cid, comp, n = (t.column(i).to_numpy() for i in range(7))
+            sig = _bytes(t.column(7).combine_chunks())
+            new = np.r_[True, (bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+            group = np.cumsum(new) - 1
+            order = np.lexsort((comp, group))
+            edge = np.flatnonzero(np.r_[True, (group[order][1:] != group[order][:-1]) | (comp[order][1:] != comp[order][:-1])])
+            many = np.diff(np.r_[edge, len(order)])
+            size = np.empty(len(order), dtype=np.int64)  # rows of the same component in the group
+            size[order] = np.repeat(many, many)
+            left, right, score = [], [], []
+            for i, j in _places(np.bincount(group)):
+                go = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & ((x[i] == y[i]) | (own[i] != own[j]))
+                i, j = i[go], j[go]
+                go = alike(sig[i], sig[j], least)
+                i, j = i[go], j[go]
+                if len(i):
+                    turn = (size[i] > size[j]) | (size[i] == size[j]) & (comp[i] > comp[j])
+                    left.append(np.where(turn, j, i))
+                    right.append(np.where(turn, i, j))
+                    score.append(np.count_nonzero(sig[i] == sig[j], axis=1))
+            if not left:
+                continue
+            left, right, score = map(np.concatenate, (left, right, score))
+            order = np.lexsort((cid[right], -score, left))
+            left, right = left[order], right[order]
+            edge = np.flatnonzero(np.r_[True, left[1:] != left[:-1]])
+            rank = np.arange(len(left)) - np.repeat(edge, np.diff(np.r_[edge, len(left)]))
+            crowd = np.unique(bucket[left[rank >= FIRST]])
+            left, right = left[rank < FIRST], right[rank < FIRST]
+            a, b = np.minimum(cid[left], cid[right]), np.maximum(cid[left], cid[right])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[bucket[left], crowd]), pa.array([*a, *[None] * len(crowd)], pa.int64()), pa.array([*b, *[None] * len(crowd)], pa.int64())], names=["bucket", "a", "b"])
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs whose full sets reach the similarity, written."""
-    percent = round(least * 100)
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    sets = _sets(wanted, classes, docs, k)
-    both = _met(pairs, sets, ["shingles"]).withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")))
-    return staged(both.filter(F.col("common") * 100 >= (F.size("shingles_a") + F.size("shingles_b") - F.col("common")) * percent).select("a", "b"), "minhash-links")
+    return staged(rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(run, "bucket long, a long, b long"), "minhash-unlike")
 
 
-def _short(shingles: Column) -> Column:
-    """Sorted 32-bit halves of the hashes, repeated ones kept, so that sets have no less in common by them."""
-    return F.array_sort(F.transform(shingles, lambda x: F.shiftright(x, 32).cast("int")))
+def _short_sets(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """cid, hashes: sorted 32-bit halves of the shingles' hashes, repeated ones kept, so that sets have no less in common by them. Written."""
+    rows = _some(docs, "id", classes, "rep_id").join(classes.select("cid", "key", "rep_id"), F.col("id").eqNullSafe(F.col("rep_id"))).select("cid", "key", "text")
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column(2).to_pylist(), 1 << 19):
+                own = batch.slice(at, len(part))
+                at += len(part)
+                same = [i for i, (t, key) in enumerate(zip(part, own.column(1).to_pylist(), strict=True)) if class_key(t) == key]
+                sets = shingle_sets([part[i] for i in same], k)
+                yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(same, pa.int64())), pa.array([np.sort((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets], pa.list_(pa.int32()))], names=["cid", "hashes"])
+
+    return staged(rows.mapInArrow(run, "cid long, hashes array<int>").dropDuplicates(["cid"]), "minhash-sets")
 
 
 def _flattened(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,63 +410,50 @@ def _inside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[at] == a
 
 
-def _unlike(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, k: int, least: float, first: int | None) -> DataFrame:
-    """Pairs between different components of a bucket that the signatures don't give up. first: only the so many most alike of each class.
+def _all_unlike(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
+    """All pairs (a, b) between different components of a bucket whose sets have enough hashes in common, written.
 
-    Buckets are cut into blocks, and each pair of blocks is gone through by itself. A pair is taken in the first bucket that it
-    shares. Without first, the sets of the classes come along as 32-bit hashes, and only pairs whose sets have enough of these
-    in common are returned, so that a crowd of classes a little less alike than asked for makes no rows.
+    The sets come along with the signatures, so that a crowd of classes a little less alike than asked for makes no rows. A pair
+    is taken in the first bucket that it shares.
     """
     percent = round(least * 100)
-    now = members.join(comps.select(F.col("v").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi AND n > 2")
-    mixed = mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = now.join(mixed, "bucket")
-    if first is None:
-        rows = staged(rows, "minhash-mixed")
-        sets = _sets(rows.select("cid").distinct(), classes, docs, k)
-        rows = rows.join(sets.select("cid", _short(F.col("shingles")).alias("hashes")), "cid")
-    rows = rows.join(classes.select("cid", "n_shingles", "bands", "sig"), "cid")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-
-    def run(key, t):
-        x, y = key[1].as_py(), key[2].as_py()
-        cid, comp, n, own, bucket = (t[c].to_numpy() for c in ("cid", "comp", "n_shingles", "own", "bucket"))
-        order = np.argsort(cid)
-        cid, comp, n, own, bucket = cid[order], comp[order], n[order], own[order], bucket[0]
-        sig, bands = _bytes(t["sig"].combine_chunks())[order], np.array(t["bands"].to_pylist(), dtype=np.int64)[order]
-        flat, start = (None, None) if first is not None else _flattened(t["hashes"].combine_chunks().take(pa.array(order)))
-        band = int(np.argmax((bands == bucket).all(axis=0)))
-        _, at_comp, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-        size = sizes[at_comp]
-        out_a, out_b = [], []
-        for i in range(len(cid)):
-            meets = (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
-            if x != y:
-                meets &= own != own[i]
-            if first is not None:  # from the smaller component to the larger one
-                meets &= (size > size[i]) | (size == size[i]) & (comp > comp[i])
-            elif x == y:
-                meets[: i + 1] = False
-            elif own[i] != x:
-                continue
-            at = np.flatnonzero(meets)
-            at = at[~(bands[at, :band] == bands[i, :band]).any(axis=1)]
-            at = at[alike(np.broadcast_to(sig[i], (len(at), HASHES)), sig[at], least)]
-            if first is not None and len(at) > first:
-                score = np.count_nonzero(sig[at] == sig[i], axis=1)
-                at = at[np.lexsort((cid[at], -score))[:first]]
-            if first is None and len(at):
-                own_set = flat[start[i] : start[i + 1]]
-                common = np.array([np.count_nonzero(_inside(flat[start[j] : start[j + 1]], own_set)) for j in at])
-                at = at[common * 100 >= (n[i] + n[at] - common) * percent]
-            out_a.append(np.full(len(at), cid[i]))
-            out_b.append(cid[at])
-        a, b = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (out_a, out_b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return rows.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    wanted = staged(members.select("cid").distinct().join(classes, "cid"), "minhash-crowd")
+    sets = _short_sets(wanted, docs, k)
+    rows = _unlike_buckets(members, comps, wanted.join(sets, "cid"), ["n_shingles", "sig", "bands", "hashes"])
+
+    def run(batches):
+        for t in _whole_groups(batches, 3):
+            bucket, x, y, own, cid, comp, n = (t.column(i).to_numpy() for i in range(7))
+            new = np.r_[True, (bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+            sig, bands = _bytes(t.column(7).combine_chunks()), np.array(t.column(8).to_pylist(), dtype=np.int64)
+            flat, start = _flattened(t.column(9).combine_chunks())
+            band = np.argmax(bands == bucket[:, None], axis=1)
+            out_a, out_b = [], []
+            for i, j in _places(np.bincount(np.cumsum(new) - 1)):
+                go = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & ((x[i] == y[i]) | (own[i] != own[j]))
+                i, j = i[go], j[go]
+                go = alike(sig[i], sig[j], least)
+                i, j = i[go], j[go]
+                go = np.argmax(bands[i] == bands[j], axis=1) == band[i]
+                i, j = i[go], j[go]
+                common = np.array([np.count_nonzero(_inside(flat[start[p] : start[p + 1]], flat[start[q] : start[q + 1]])) for p, q in zip(i, j, strict=True)], dtype=np.int64)
+                go = common * 100 >= (n[i] + n[j] - common) * percent
+                out_a.append(cid[i[go]])
+                out_b.append(cid[j[go]])
+            if out_a:
+                a, b = np.concatenate(out_a), np.concatenate(out_b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    found = staged(rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(run, "a long, b long").distinct(), "minhash-all")
+    release(wanted, sets)
+    return found
+
+
+def _linked(tested: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
+    given = _given(tested, classes, least)
+    links = _verified(given, classes, docs, k, least)
+    release(given)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -328,35 +464,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = staged(_sketched(docs, shingle), "minhash-sketches")
     classes = sketched.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
+    slim = staged(sketched.select("id", "n_shingles", "key"), "minhash-documents")
+    release(sketched)
 
     rows = classes.select(F.explode("bands").alias("bucket"), "cid")
-    hubs = rows.groupBy("bucket").agg(F.min("cid").alias("h1"), F.min(F.col("cid").bitwiseXOR(F.col("bucket"))).alias("h2"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    hubs = hubs.withColumn("h2", F.col("h2").bitwiseXOR(F.col("bucket")))
+    hubs = rows.groupBy("bucket").agg(F.min("cid").alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "h")
     members = staged(rows.join(hubs, "bucket"), "minhash-members")
-    pairs = members.select(F.col("h1").alias("h"), "cid").union(members.select(F.col("h2").alias("h"), "cid")).filter("h <> cid")
-    pairs = pairs.select(F.col("h").alias("a"), F.col("cid").alias("b")).distinct()
-    # (x, y) and (y, x) may both be there, from different buckets: keep the order that has a hub first, once.
-    tested = staged(_given(pairs, classes, least), "minhash-pairs")
-    tested = tested.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a")).select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
-    tested = staged(tested, "minhash-tested")
-    links = _verified(tested, classes, docs, shingle, least)
+    pairs = staged(members.groupBy("cid").agg(F.min("h").alias("a")).filter("a < cid").select("a", F.col("cid").alias("b")), "minhash-pairs")
+    members = members.select("bucket", "cid")
+    links = _linked(pairs, classes, docs, shingle, least)
     comps = components(links)
-    members = members.filter("n > 2").select("bucket", "cid")
-    for first in PASSES:
-        more = staged(_unlike(members, classes, comps, docs, shingle, least, first), "minhash-unlike")
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = staged(more.join(done, ["a", "b"], "left_anti"), "minhash-more")
-        if more.isEmpty():
-            continue
+    unlike = _first_unlike(members, classes, comps, least)
+    more = staged(unlike.filter("a IS NOT NULL").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "minhash-more")
+    if not more.isEmpty():
         found = _verified(more, classes, docs, shingle, least)
-        tested, links = tested.union(more), links.union(found)
+        links = links.union(found)
+        comps = components(links)
+    crowd = unlike.filter("a IS NULL").select("bucket").distinct()
+    if not crowd.isEmpty():
+        inside = staged(members.join(crowd, "bucket"), "minhash-crowded")
+        last = _all_unlike(inside, classes, comps, docs, shingle, least)
+        last = last.join(pairs.union(more), ["a", "b"], "left_anti")
+        found = _verified(last, classes, docs, shingle, least)
         if not found.isEmpty():
-            comps = components(links)
-
-    known = classes.select("key", "cid", "rep_id").join(comps.select(F.col("v").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    smallest = known.groupBy("comp").agg(F.min("rep_id").alias("component_id"))
-    named = known.join(smallest, "comp").select("key", "component_id")
-    out = sketched.select("id", "n_shingles", "key").join(named, "key", "left")
+            comps = components(links.union(found))
+
+    # The rows of one component, and of one class, meet theirs in parts.
+    linked = comps.join(classes.select(F.col("cid").alias("v"), "rep_id"), "v")
+    smallest = linked.groupBy("comp").agg(F.min("rep_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = comps.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    named = salted.join(smallest, ["comp", "salt"]).select(F.col("v").alias("cid"), "component_id")
+    named = classes.select("key", "cid", "rep_id").join(named, "cid", "left").select("key", F.coalesce("component_id", "rep_id").alias("component_id"))
+    slim = slim.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    named = slim.filter("key IS NOT NULL").select("key", "salt").distinct().join(named, "key")
+    out = slim.join(named, ["key", "salt"], "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
