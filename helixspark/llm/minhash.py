@@ -5,8 +5,8 @@ MinHash signatures are candidates. First each class is paired with the smallest
 class. Pairs are checked batch by batch of the signature and given up once the posterior probability of reaching the
 similarity falls below MISS; the survivors are verified on the full sets of shingles, word by word. Links make components.
 Buckets that still hold several components are gone through for pairs between different components, in blocks of bounded
-size, again by signature batches: first the most alike of each class, of the smaller component, and then, in buckets where
-these weren't all, everything that is left. No candidate is dropped other than by the posterior bound. The chance that a pair of exactly the
+size, again by signature batches: first for the most alike partner of each class, then, in buckets where any pair was left, for the FIRST most
+alike in each bucket, and at last, in buckets where these weren't all, for everything that is left. No candidate is dropped other than by the posterior bound. The chance that a pair of exactly the
 least similarity shares no band is (1 - least ** ROWS) ** BANDS, 5e-6 at 0.8.
 
 Texts and signatures reach their pairs in one sorted exchange, the hub of many pairs before its partners, and are read as a
@@ -46,7 +46,7 @@ MISS = 1e-7
 BLOCK = 4096
 #: Shingles that one block holds on average.
 BLOCK_SHINGLES = 1 << 22
-#: Pairs for each class that the first pass over unlike buckets takes.
+#: Pairs of a class in a bucket that the second pass over unlike buckets takes.
 FIRST = 4
 #: Pairs of one hub that one part holds.
 DEALT = 2048
@@ -337,10 +337,10 @@ def _unlike_buckets(members: DataFrame, comps: DataFrame, classes: DataFrame, mo
     return rows.join(_some(classes.select("cid", *more), "cid", rows, "cid"), "cid").select("bucket", "x", "y", "own", "cid", "comp", *more)
 
 
-def _first_unlike(members: DataFrame, classes: DataFrame, comps: DataFrame, least: float) -> DataFrame:
-    """Pairs (bucket, a, b) between different components of a bucket that the signatures don't give up, written.
+def _first_unlike(members: DataFrame, classes: DataFrame, comps: DataFrame, least: float, first: int) -> DataFrame:
+    """Pairs (bucket, a, b, left, score) between different components of a bucket that the signatures don't give up, written.
 
-    Of the smaller component's classes each has its FIRST most alike partners; where it has more, a row with null pairs names the bucket.
+    Each class (left) of the smaller component has its first most alike partners; where it has more, a row without pair names the bucket.
     """
     percent = round(least * 100)
     rows = _unlike_buckets(members, comps, classes, ["n_shingles", "sig"])
@@ -371,15 +371,17 @@ def _first_unlike(members: DataFrame, classes: DataFrame, comps: DataFrame, leas
                 continue
             left, right, score = map(np.concatenate, (left, right, score))
             order = np.lexsort((cid[right], -score, left))
-            left, right = left[order], right[order]
+            left, right, score = left[order], right[order], score[order]
             edge = np.flatnonzero(np.r_[True, left[1:] != left[:-1]])
             rank = np.arange(len(left)) - np.repeat(edge, np.diff(np.r_[edge, len(left)]))
-            crowd = np.unique(bucket[left[rank >= FIRST]])
-            left, right = left[rank < FIRST], right[rank < FIRST]
-            a, b = np.minimum(cid[left], cid[right]), np.maximum(cid[left], cid[right])
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[bucket[left], crowd]), pa.array([*a, *[None] * len(crowd)], pa.int64()), pa.array([*b, *[None] * len(crowd)], pa.int64())], names=["bucket", "a", "b"])
+            crowd = np.unique(bucket[left[rank >= first]])
+            left, right, score = left[rank < first], right[rank < first], score[rank < first]
+            pairs = np.minimum(cid[left], cid[right]), np.maximum(cid[left], cid[right]), cid[left], score
+            none = np.zeros(len(crowd), dtype=np.int64)
+            missing = np.r_[np.zeros(len(left), dtype=bool), np.ones(len(crowd), dtype=bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[bucket[left], crowd]), *(pa.array(np.r_[v, none], mask=missing) for v in pairs)], names=["bucket", "a", "b", "left", "score"])
 
-    return staged(rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(run, "bucket long, a long, b long"), "minhash-unlike")
+    return staged(rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(run, "bucket long, a long, b long, left long, score long"), "minhash-unlike")
 
 
 def _short_sets(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -474,18 +476,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.select("bucket", "cid")
     links = _linked(pairs, classes, docs, shingle, least)
     comps = components(links)
-    unlike = _first_unlike(members, classes, comps, least)
-    more = staged(unlike.filter("a IS NOT NULL").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "minhash-more")
-    if not more.isEmpty():
-        found = _verified(more, classes, docs, shingle, least)
-        links = links.union(found)
-        comps = components(links)
-    crowd = unlike.filter("a IS NULL").select("bucket").distinct()
-    if not crowd.isEmpty():
-        inside = staged(members.join(crowd, "bucket"), "minhash-crowded")
-        last = _all_unlike(inside, classes, comps, docs, shingle, least)
-        last = last.join(pairs.union(more), ["a", "b"], "left_anti")
-        found = _verified(last, classes, docs, shingle, least)
+    tested = pairs
+    for first in (1, FIRST):
+        unlike = _first_unlike(members, classes, comps, least, first)
+        more = unlike.filter("a IS NOT NULL")
+        if first == 1:  # over all buckets of a class
+            more = more.groupBy("left").agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("pair")).select("pair.*")
+        more = staged(more.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "minhash-more")
+        left = (unlike if first == 1 else unlike.filter("a IS NULL")).select("bucket").distinct()
+        members = staged(members.join(left, "bucket"), "minhash-left")
+        release(unlike)
+        if not more.isEmpty():
+            links = links.union(_verified(more, classes, docs, shingle, least))
+            tested = tested.union(more)
+            comps = components(links)
+    if not members.isEmpty():
+        last = _all_unlike(members, classes, comps, docs, shingle, least)
+        found = _verified(last.join(tested, ["a", "b"], "left_anti"), classes, docs, shingle, least)
         if not found.isEmpty():
             comps = components(links.union(found))
 
