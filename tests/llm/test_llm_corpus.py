@@ -233,6 +233,31 @@ def test_html(spark):
     assert {r.text for r in html_extract.extract(same).collect()} == {"one article"}
 
 
+def test_html_tree_decides(spark):
+    """Without names and tags that mean anything, what the pages of a host share goes, long as it is; one page alone can't tell."""
+    template = "<div><div><div>{t}</div></div><section><h2>T {i}</h2><p>{a}</p></section></div>"
+    words = "every page of this host says so in many words and more of them than its article has " * 4
+    rows = [(i, "http://d.example/", template.format(t=words, i=i, a=f"what page {i} alone has to say")) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got == {i: f"T {i}\n\nwhat page {i} alone has to say" for i in range(8)}
+    assert "every page" in html_extract.extract(df.limit(1)).first().text
+
+
+def test_html_without_names(monkeypatch):
+    """On the tables the names of classes decide nothing."""
+    p = pd.read_parquet(f"{SF}/pages.parquet").html
+    whole = [html_extract.main_text(html_extract.parse(x), set()) for x in p]
+    monkeypatch.setattr(html_extract, "SIDE_NAMES", set())
+    assert whole == [html_extract.main_text(html_extract.parse(x), set()) for x in p]
+
+
+def test_html_deep(spark):
+    deep = "".join(f"<div>x{i}" for i in range(5000))
+    got = html_extract.extract(spark.createDataFrame([(i, "http://e.example/", deep + str(i)) for i in range(3)], "page_id long, url string, html string")).collect()
+    assert len(got) == 3 and all(r.text.startswith("x0\n\nx1\n\n") or "x4999" in r.text for r in got)
+
+
 def test_html_query(spark):
     import re
     from html import unescape
