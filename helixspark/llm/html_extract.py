@@ -40,7 +40,7 @@ from .words import slices
 #: Importance below which a node is unimportant, and weight of the presentations in it.
 LEAST, PRESENTATION = 0.5, 0.1
 #: Weights of a text's characters in unimportant nodes and in articles.
-FLOOR, ARTICLE = 0.1, 8
+FLOOR, ARTICLE = 0.05, 8
 #: Elements deeper than so many stand in the tree where the last of these does, as in browsers. Their texts stay.
 DEPTH = 512
 #: Parts into which the rows of one host are dealt.
