@@ -121,13 +121,22 @@ def bitmap_of(df: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
     return df.groupBy(F.floor(at / _BITMAP).alias("__bucket")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(_BITMAP)).cast("long")).alias("__bitmap"))
 
 
+def bitmap_place(at: Column) -> tuple[Column, Column]:
+    """Row and place in it of a bit of a bitmap."""
+    return F.floor(at / _BITMAP), F.pmod(at, F.lit(_BITMAP)).cast("long")
+
+
+def bit_set(bitmap: str, place: Column) -> Column:
+    """Whether the bit of a row of a bitmap is set; not where there is no row."""
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False))
+
+
 def in_bitmap(df: DataFrame, key: str, bitmap: DataFrame, bits: int = 1 << 24, inside: bool = True) -> DataFrame:
     """Rows of df whose key's bit is set, or those whose key's isn't. What is broadcast is bounded by bits / 8 bytes."""
     at = _bit(F.col(key), bits)
-    place = F.pmod(at, F.lit(_BITMAP)).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("__bitmap"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     joined = df.withColumn("__bucket", F.floor(at / _BITMAP)).join(F.broadcast(bitmap), "__bucket", "inner" if inside else "left")
-    is_set = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8))) == 1, F.lit(False))
+    is_set = bit_set("__bitmap", F.pmod(at, F.lit(_BITMAP)).cast("int"))
     return joined.filter(is_set if inside else ~is_set).drop("__bucket", "__bitmap")
 
 

@@ -30,13 +30,43 @@ def test_packing_starts_from_best_fit():
 
 
 def test_several_flushes_are_compacted(spark):
-    rows = spark.range(60).select("id", (F.col("id") % 2).cast("int").alias("memtable"), F.sha2((F.col("id") % 40).cast("string"), 256).cast("binary").alias("digest"))
-    index = exact_dedup.DigestIndex(spark)
-    for k in range(3):
-        index.flush(rows.filter(F.col("id") % 3 == k))
-    apart = sorted(map(tuple, index.hits().select("digest", "keep", "n").distinct().collect()))
-    assert len(index.runs) == 3
-    index.compact()
-    assert len(index.runs) == 1
-    assert sorted(map(tuple, index.hits().select("digest", "keep", "n").distinct().collect())) == apart
-    assert sorted((keep, n) for _, keep, n in apart) == [(k, 2) for k in range(20)]
+    rows = spark.range(60).select("id", F.col("id").alias("row"), F.sha2((F.col("id") % 40).cast("string"), 256).cast("binary").alias("digest"))
+    for keep in ("min", "max"):
+        index = exact_dedup.DigestIndex(spark, keep, memtable=4)
+        for k in range(3):
+            assert index.flush(rows.filter(F.col("id") % 3 == k)) == 5
+        apart = sorted(map(tuple, index.hits().select("digest", "keep", "row", "n").distinct().collect()))
+        assert sum(n for _, n in index.runs) == 15
+        index.compact()  # 15, 4, 1
+        assert sum(n for _, n in index.runs) == 1 and index.written == 5
+        top = index.entries().collect()
+        assert len(top) == 40 and {r.run for r in top} == {0} and sum(r.n for r in top) == 60
+        assert sorted(map(tuple, index.hits().select("digest", "keep", "row", "n").distinct().collect())) == apart
+        assert sorted((k, n) for _, k, _, n in apart) == [(k if keep == "min" else k + 40, 2) for k in range(20)]
+        # A later batch meets the compacted run.
+        index.flush(rows.filter("id < 2"))
+        index.compact()
+        assert sorted(r.n for r in index.entries().collect()) == [1] * 20 + [2] * 18 + [3] * 2
+
+
+def test_filters_set_lone_entries_apart(spark):
+    rows = spark.range(4000).select("id", F.col("id").alias("row"), F.sha2(F.greatest(F.lit(0), F.col("id") - 3990).cast("string"), 256).cast("binary").alias("digest"))
+    rows = rows.filter("id >= 3990").unionByName(spark.range(3990).select("id", F.col("id").alias("row"), F.sha2(F.concat(F.lit("x"), "id"), 256).cast("binary").alias("digest")))
+    index = exact_dedup.DigestIndex(spark, memtable=1000)
+    index.flush(rows)
+    alone, shared = index._apart(index.entries())
+    assert alone.count() > 3900 and shared.groupBy("digest").count().filter("count > 1").count() <= shared.count()
+    both = index.entries().groupBy("digest").agg(F.countDistinct("run").alias("n")).filter("n > 1")
+    assert alone.join(both, "digest").count() == 0
+
+
+def test_query_flushes_and_compacts(spark, monkeypatch):
+    """Many memtables of the registered query's operator, over rows with a hot digest."""
+    made = []
+    real = exact_dedup.DigestIndex._write
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_write", lambda self, entries, runs: made.append(runs) or real(self, entries, runs))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 500)).alias("text"))
+    got = exact_dedup.exact_dedup(docs, keep="max", memtable=100).toPandas()
+    assert made == [30, 8, 2, 1]
+    hot = got[got.keep_id == 2997]
+    assert len(hot) == 1000 and (hot.group_size == 1000).all() and hot.kept.sum() == 1 and got.groupby("text_sha256").kept.sum().eq(1).all()
