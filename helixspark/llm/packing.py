@@ -2,10 +2,11 @@
 
 Pieces are dealt into blocks of bounded size. For each block several islands evolve a population of packings: crossover
 takes whole well-filled bins of one parent into the other, drops the bins there that hold one of the same pieces, and
-best-fits what was displaced, longest first. The first population is made by best-fit of the pieces, longest first and in
-noisy orders; where one of these has no more bins than the pieces' sum needs, no child is made. Between epochs each island sends its elite to the next. The best packing of a
+best-fits what was displaced, longest first. The first population are random groupings: the pieces in random orders, each put where it
+fits best. Evolution ends early where a packing has no more bins than the pieces' sum needs, as none has fewer.
+Between epochs each island sends its elite to the next. The best packing of a
 block then keeps its well-filled bins, and the pieces of all other bins, of all blocks, are dealt into new blocks and
-evolved again, starting from the bins they were in, until one block is left. Pieces of full length are sequences by
+evolved again, the bins they were in among the first population, until one block is left. Pieces of full length are sequences by
 themselves. Blocks depend on the written table of pieces, so a task that runs again gives the same packing.
 
 Defined results: null text is empty and is one piece of the end token alone. Null identifiers and repeated rows are pieces
@@ -31,7 +32,7 @@ from .words import remembers, slices, turn_of
 
 CAPACITY = 2048
 #: Pieces of a block, islands of a block, individuals of an island, epochs and children of an epoch.
-BLOCK, ISLANDS, POPULATION, EPOCHS, CHILDREN = 4096, 2, 4, 2, 6
+BLOCK, ISLANDS, POPULATION, EPOCHS, CHILDREN = 4096, 2, 8, 2, 60
 #: Tokens that may stay free in a bin that is not packed again.
 SLACK = 0
 _LEVELS = 8
@@ -189,17 +190,18 @@ def fitness(assign: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[int
 
 
 def cross(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """A child: well-filled bins of a put into b."""
+    """A child: the best-filled bins of a, a tenth to seven tenths of all, put into b.
+
+    Of b's bins go those that hold a piece twice then, up to a third of them all, the emptiest first, and one in fifty by chance.
+    """
     room_a, room_b = rooms(a, lengths, capacity), rooms(b, lengths, capacity)
-    fullest = np.argsort(room_a, kind="stable")
-    fullest = fullest[: max(1, int(len(fullest) * rng.uniform(0.5, 0.9)))]
+    fullest = np.argsort(room_a + rng.uniform(0, 1, len(room_a)), kind="stable")
     into = np.zeros(len(room_a), dtype=bool)
-    into[rng.choice(fullest, max(1, int(len(fullest) * rng.uniform(0.2, 0.8))), replace=False)] = True
+    into[fullest[: max(1, int(len(fullest) * rng.uniform(0.1, 0.7)))]] = True
     injected = into[a]
-    gone = np.zeros(len(room_b), dtype=bool)
-    gone[b[injected]] = True  # bins that hold a piece twice now
-    emptiest = np.argsort(-room_b, kind="stable")[: max(1, len(room_b) // 20)]
-    gone[emptiest] = True
+    gone = rng.random(len(room_b)) < 0.02
+    gone[b[injected]] = True
+    gone[np.argsort(-room_b, kind="stable")[: max(1, int(len(room_b) * rng.uniform(0, 0.3)))]] = True
     child = np.full(len(a), -1, dtype=np.int32)
     number_a, number_b = np.cumsum(into) - 1, np.cumsum(~gone) - 1
     child[injected] = number_a[a[injected]]
@@ -213,20 +215,18 @@ def cross(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int, rng:
 
 
 def first_population(lengths: np.ndarray, old: np.ndarray | None, capacity: int, rng: np.random.Generator, size: int) -> list[np.ndarray]:
-    out = []
-    if old is not None:
-        out.append(np.unique(old, return_inverse=True)[1].astype(np.int32))
+    """Random groupings, after the one that is there already."""
+    out = [] if old is None else [np.unique(old, return_inverse=True)[1].astype(np.int32)]
     own = lengths.tolist()
     while len(out) < size:
-        noise = rng.uniform(0.9, 1.1, len(lengths)) if len(out) > (old is not None) else 1.0
         assign = np.full(len(lengths), -1, dtype=np.int32)
-        best_fit(np.argsort(-lengths * noise, kind="stable").tolist(), own, assign, [], capacity)
+        best_fit(rng.permutation(len(lengths)).tolist(), own, assign, [], capacity)
         out.append(assign)
     return out
 
 
 def evolve(population: list[np.ndarray], lengths: np.ndarray, capacity: int, rng: np.random.Generator, children: int, size: int) -> list[np.ndarray]:
-    """The best of the population and of so many children, best first."""
+    """The best of the population and of so many children, best first; one alone if it can't be bettered."""
     least = -(-int(lengths.sum()) // capacity)
     ranked = sorted(((fitness(x, lengths, capacity), i, x) for i, x in enumerate(population)), key=lambda t: t[:2])
     for k in range(children):
@@ -236,17 +236,18 @@ def evolve(population: list[np.ndarray], lengths: np.ndarray, capacity: int, rng
         child = cross(ranked[min(i, j)][2], ranked[max(i, j)][2], lengths, capacity, rng)
         ranked.append((fitness(child, lengths, capacity), len(population) + k, child))
         ranked = sorted(ranked, key=lambda t: t[:2])[:size]
-    return [x for _, _, x in ranked[:size]]
+    return [x for _, _, x in ranked[: 1 if ranked[0][0][0] == least else size]]
 
 
+#: Packings of a block on an island; rows and lengths of the pieces stand with the best one only.
 _STATE = "block long, island int, rank int, rows array<long>, lengths array<int>, assign array<int>"
 
 
 def _state(block: int, island: int, rows: np.ndarray, lengths: np.ndarray, population: list[np.ndarray]):
     n = len(population)
-    many = lambda x, kind: pa.array([x] * n, pa.list_(kind))
+    once = lambda x, kind: pa.array([x, *[None] * (n - 1)], pa.list_(kind))
     return pa.table(
-        {"block": pa.array([block] * n, pa.int64()), "island": pa.array([island] * n, pa.int32()), "rank": pa.array(range(n), pa.int32()), "rows": many(rows, pa.int64()), "lengths": many(lengths.astype(np.int32), pa.int32()), "assign": pa.array(population, pa.list_(pa.int32()))}
+        {"block": pa.array([block] * n, pa.int64()), "island": pa.array([island] * n, pa.int32()), "rank": pa.array(range(n), pa.int32()), "rows": once(rows, pa.int64()), "lengths": once(lengths.astype(np.int32), pa.int32()), "assign": pa.array(population, pa.list_(pa.int32()))}
     )
 
 
@@ -289,6 +290,7 @@ def _level(items: DataFrame, n: int, level: int, capacity: int, block_size: int)
     for _ in range(EPOCHS - 1):
         state = staged(state, "packing-islands")
         elite = state.filter("rank = 0").withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int")).withColumn("rank", F.lit(POPULATION))
+        elite = elite.withColumns({c: F.lit(None).cast(state.schema[c].dataType) for c in ("rows", "lengths")})
         state = state.unionByName(elite).groupBy("block", "island").applyInArrow(again, _STATE)
     return state.filter("rank = 0").groupBy("block").applyInArrow(best, "row long, length long, sequence_id long, offset long, room long")
 

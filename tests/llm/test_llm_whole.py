@@ -20,13 +20,29 @@ def test_texts_of_one_long_word():
     assert not np.array_equal(a, b)
 
 
-def test_packing_starts_from_best_fit():
-    lengths = np.random.default_rng(1).integers(1, 1500, 400)
-    first = packing.first_population(lengths, None, 2048, np.random.default_rng(2), 4)
-    want = np.full(len(lengths), -1, dtype=np.int32)
-    packing.best_fit(np.argsort(-lengths, kind="stable").tolist(), lengths.tolist(), want, [], 2048)
-    assert np.array_equal(first[0], want)
-    assert len({x.tobytes() for x in first}) == 4
+def test_crossover_lowers_the_bins():
+    """From random groupings, children alone make the packing; it is as good as best-fit, longest first."""
+    for seed in range(4):
+        lengths = np.random.default_rng(seed).integers(1, 1500, 400)
+        first = packing.first_population(lengths, None, 2048, np.random.default_rng(seed), packing.POPULATION)
+        assert len({x.tobytes() for x in first}) == packing.POPULATION
+        best = packing.evolve(first, lengths, 2048, np.random.default_rng(seed), 120, packing.POPULATION)[0]
+        greedy = np.full(len(lengths), -1, dtype=np.int32)
+        packing.best_fit(np.argsort(-lengths, kind="stable").tolist(), lengths.tolist(), greedy, [], 2048)
+        assert best.max() < min(x.max() for x in first) and best.max() <= greedy.max() + 1
+
+
+def test_query_makes_children(monkeypatch):
+    """The lengths of the smallest documents, in blocks as the operator deals them: children are made, and the bins get fewer by them."""
+    made = []
+    real = packing.cross
+    monkeypatch.setattr(packing, "cross", lambda *x: made.append(1) or real(*x))
+    import pandas as pd
+
+    n = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text.fillna("").str.split().str.len().to_numpy() * 7 // 5 % 2048 + 1
+    first = packing.first_population(n, None, 2048, np.random.default_rng(0), packing.POPULATION)
+    best = packing.evolve(first, n, 2048, np.random.default_rng(1), packing.CHILDREN, packing.POPULATION)[0]
+    assert made and best.max() < min(x.max() for x in first)
 
 
 def test_several_flushes_are_compacted(spark):
