@@ -19,10 +19,10 @@ import functools
 import os
 import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,64 +49,93 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^A
 REMEMBERED = 1_000_000
 
 
-class _Known(dict):
-    """Ids by word; words that are asked for and aren't there are noted."""
-
-    def __init__(self):
-        super().__init__()
-        self.lost: set[str] = set()
-
-    def __missing__(self, word: str) -> None:
-        self.lost.add(word)
-
-
 class Encoder:
     """Ids of whole texts by a file of the tokenizers library whose texts are lower-cased and split at white space."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
-        self.young, self.old = _Known(), _Known()
+        #: The same model for pieces that are normal and cut already, with spaces between them; ids that end a piece.
+        self.bare = Tokenizer(self.t.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.t.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text. Words are encoded once for as long as they are remembered."""
-        split = [x.lower().split() if "<|" not in x and _PLAIN.fullmatch(x) else None for x in texts]
-        if len(self.young) > REMEMBERED // 2:
-            self.old, self.young = self.young, _Known()
-        young, old = self.young, self.old.get
-        known = [ws and list(map(young.__getitem__, ws)) for ws in split]
-        lost = list(young.lost)
-        cut = {}
-        for w in lost:
-            young[w] = old(w)
-            if young[w] is None:
-                cut[w] = _PIECE.findall(w)
-        new = {x for ps in cut.values() for x in ps if young.get(x) is None}
-        for x in list(new):
-            if (v := old(x)) is not None:
-                young[x] = v
-                new.discard(x)
-        new = sorted(new)
+    def _met(self, words: set[str]) -> set[str]:
+        """Those of the words that aren't remembered; others are in young then."""
+        new = words.difference(self.young)
+        if self.old:
+            again = new.intersection(self.old)
+            self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            new -= again
+        return new
+
+    def _learn(self, words: set[str]) -> None:
+        """Put the ids of the words into young."""
+        young = self.young
+        cut, pieces = [], set()
+        for w in words:
+            if w.isalpha():
+                pieces.add(w)
+            elif w[-1] in ".,;:!?" and w[:-1].isalpha():
+                cut.append((w, (w[:-1], w[-1])))
+                pieces.update(cut[-1][1])
+            else:
+                cut.append((w, _PIECE.findall(w)))
+                pieces.update(cut[-1][1])
+        new = sorted(self._met(pieces))
         for at in range(0, len(new), 4096):
             batch = new[at : at + 4096]
-            for x, e in zip(batch, self.t.encode_batch(batch, add_special_tokens=False), strict=True):
-                young[x] = array("I", e.ids).tobytes()
-        for w, ps in cut.items():
+            ids = np.array(self.bare.encode(" ".join(batch), add_special_tokens=False).ids, dtype="<u4")
+            edges = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            data = ids.tobytes()
+            young.update(zip(batch, [data[i:j] for i, j in zip(edges, edges[1:])], strict=True))
+        for w, ps in cut:
             if len(ps) > 1:
                 young[w] = b"".join(map(young.__getitem__, ps))
-        out = [self._whole(x) if ws is None else b"".join(vs if None not in vs else map(young.__getitem__, ws)) for x, ws, vs in zip(texts, split, known, strict=True)]
-        for w in (*lost, *new):
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts whose words are encoded one by one. The distinct words are looked up, and the ids gathered by place."""
+        split = pa.compute.ascii_split_whitespace(pa.compute.ascii_trim_whitespace(pa.array([x.lower() for x in texts], pa.large_string())))
+        found = split.values.dictionary_encode()
+        words, place = found.dictionary.to_pylist(), found.indices.to_numpy()
+        if len(self.young) > REMEMBERED // 2:
+            self.old, self.young = self.young, {}
+        lost = self._met(set(words) - {""})
+        self._learn(lost)
+        self.young[""] = b""
+        ids = list(map(self.young.__getitem__, words))
+        size = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        start = np.cumsum(size, dtype=np.int32) - size
+        own = size.take(place)
+        end = np.cumsum(own, dtype=np.int32)
+        at = np.repeat(start.take(place) - end + own, own)
+        at += np.arange(len(at), dtype=np.int32)
+        out = flat.take(at)
+        edges = np.r_[0, end][split.offsets.to_numpy()]
+        for w in lost:
             if len(w) > 48:
-                young.pop(w, None)
-        young.lost.clear()
-        return out
+                self.young.pop(w, None)
+        return [out[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text. Words are encoded once for as long as they are remembered."""
+        plain = [i for i, x in enumerate(texts) if "<|" not in x and _PLAIN.fullmatch(x)]
+        out: list[bytes | None] = [None] * len(texts)
+        for i, ids in zip(plain, self._plain([texts[i] for i in plain]) if plain else (), strict=True):
+            out[i] = ids.tobytes()
+        return [self._whole(x) if y is None else y for x, y in zip(texts, out, strict=True)]
 
 
 @functools.lru_cache(2)
@@ -130,7 +159,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         e = encoder(path)
         for batch in batches:
             at = 0
-            for part in slices(batch.column(1).to_pylist()):
+            for part in slices(batch.column(1).to_pylist(), 4 << 20):
                 source, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, data in enumerate(e.encode(part), at):
                     data += last
