@@ -91,7 +91,7 @@ SQL = {
     "seqs": f"seqs AS (SELECT p_partkey AS id, {sql_dna32('p_partkey')} || {sql_dna32('p_partkey + 1000000')} AS seq FROM part)",
     "genome": f"genome AS (SELECT s_suppkey AS chr, array_to_string(list_transform(range(32), lambda i: {sql_dna32('s_suppkey || chr(58) || i')}), '') AS seq FROM supplier)",
     "primers": f"""primers AS (SELECT p_partkey AS primer_id, g.chr, CASE WHEN p_partkey % 2 = 1 THEN {sql_revcomp('substr(g.seq, p_partkey % 900 + 1, 20)')} ELSE substr(g.seq, p_partkey % 900 + 1, 20) END AS primer
-        FROM part, (SELECT min(s_suppkey) AS lo, count(*) AS n FROM supplier) AS s, genome AS g WHERE p_partkey % 10 < 2 AND g.chr = s.lo + p_partkey % s.n)""",
+        FROM part, (SELECT min(s_suppkey) AS lo, count(*) AS n FROM supplier) AS s, genome AS g WHERE g.chr = s.lo + p_partkey % s.n)""",
     "features": """features AS (SELECT o_orderkey AS id, o_custkey % 16 AS chr, (o_orderkey * 7) % 100000 AS l, (o_orderkey * 7) % 100000 + o_custkey % 500 AS r, o_orderkey % 2 = 0 AS fwd,
         CASE o_orderstatus WHEN 'F' THEN 'ORF' WHEN 'O' THEN 'CDS' ELSE 'intron' END AS type, 'G' || (o_orderkey % 997) AS gene, o_orderpriority AS description FROM orders)""",
     "points": "points AS (SELECT event_id AS point_id, user_id % 16 AS chr, (event_id * 13) % 100000 AS pos FROM events)",

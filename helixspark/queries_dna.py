@@ -106,7 +106,7 @@ def _(spark, sf):
     return sequences(spark, sf).select("id", F.col("seq").startswith("A").alias("sw"), F.col("seq").endswith("T").alias("ew"), F.col("seq").contains("ACG").alias("has"))
 
 
-@register("dna_order", f"{_S} SELECT id, row_number() OVER (ORDER BY length(s), s, id) AS rank FROM (SELECT id, substr(seq, 1, CAST(id % 40 + 1 AS BIGINT)) AS s FROM seqs) ORDER BY rank LIMIT 100")
+@register("dna_order", f"{_S} SELECT id, row_number() OVER (ORDER BY length(s), s, id) AS rank FROM (SELECT id, substr(seq, 1, CAST(id % 40 + 1 AS BIGINT)) AS s FROM seqs)")
 def _(spark, sf):
     from .plans.text import ranked
 
@@ -114,7 +114,7 @@ def _(spark, sf):
     return ranked(sequences(spark, sf).select("id", s.alias("s")), [*dna.dna_order("s"), F.col("id")]).select("id", "rank")
 
 
-@register("fasta_format60", "SELECT doc_id, substr(t, 1, 60) || CASE WHEN length(t) > 60 THEN chr(10) || substr(t, 61, 60) ELSE '' END || CASE WHEN length(t) > 120 THEN chr(10) || substr(t, 121) ELSE '' END AS wrapped FROM (SELECT doc_id, substr(replace(text, chr(10), ' '), 1, 180) AS t FROM documents)")
+@register("fasta_format60", "SELECT doc_id, array_to_string(regexp_extract_all(replace(text, chr(10), ' '), '(?s).{1,60}'), chr(10)) AS wrapped FROM documents")
 def _(spark, sf):
     t = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     return table(spark, sf, "documents").select("doc_id", dna.wrap(t).alias("wrapped"))

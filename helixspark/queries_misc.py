@@ -72,7 +72,7 @@ def _(spark, sf):
     return variant_filter.filter_variants(variants(spark, sf)).select("chr", "pos", "okey", "line", "status", vcf.label("status").alias("label"))
 
 
-@register("vcf_sort", f"{_V} SELECT okey, line, row_number() OVER (ORDER BY chr, pos, okey, line) AS rank FROM variants ORDER BY rank LIMIT 500")
+@register("vcf_sort", f"{_V} SELECT okey, line, row_number() OVER (ORDER BY chr, pos, okey, line) AS rank FROM variants")
 def _(spark, sf):
     from .plans.text import ranked
 
@@ -182,9 +182,19 @@ def _(spark, sf):
     return sequences(spark, sf).select("id", thermo.rule_of_thumb(gc, F.length(s)).cast("int").alias("tm"))
 
 
-_CAND = f"""{with_('seqs')}, w AS (SELECT id, 30 AS len, l, n, substr(seq, l + 1, n) AS s FROM seqs, (SELECT unnest(range(11)) AS l) a, (SELECT unnest(range(20, 31)) AS n) b WHERE id % 40 = 0 AND l + n <= 30),
-    c AS (SELECT *, {_sql_melting('s')} AS tm FROM w WHERE NOT contains(s, 'CCCC')),
-    f AS (SELECT id, l, n, s AS oligo, tm, abs(l + n / 2.0 - 15) / 5.0 + CASE WHEN right(s, 1) IN ('A', 'T') THEN 3.0 ELSE 0 END + abs(tm - 60) + abs(n - 20) / 3.0
+def _sql_windows(sql: str) -> str:
+    """sql over a window s of seq, sums of its neighbours taken from lists of the whole sequence."""
+    return sql.replace(_sql_sum("s", tables.NN_H), "list_sum(hs[l + 1:l + n - 1])").replace(_sql_sum("s", tables.NN_S), "list_sum(es[l + 1:l + n - 1])")
+
+
+def _sql_pairs(values: dict) -> str:
+    return _sql_sum("seq", values).removeprefix("list_sum(")[:-1]
+
+
+_CAND = f"""{with_('seqs')}, p AS (SELECT id, seq, {_sql_pairs(tables.NN_H)} AS hs, {_sql_pairs(tables.NN_S)} AS es FROM seqs),
+    w AS (SELECT id, l, n, hs, es, substr(seq, l + 1, n) AS s FROM p, (SELECT unnest(range(45)) AS l) a, (SELECT unnest(range(20, 61)) AS n) b WHERE l + n <= length(seq)),
+    c AS (SELECT id, l, n, s, {_sql_windows(_sql_melting('s'))} AS tm FROM w WHERE NOT contains(s, 'CCCC')),
+    f AS (SELECT id, l, n, s AS oligo, tm, abs(l + n / 2.0 - 32) / 5.0 + CASE WHEN right(s, 1) IN ('A', 'T') THEN 3.0 ELSE 0 END + abs(tm - 60) + abs(n - 20) / 3.0
         + CASE WHEN {_sql_sum('right(s, 5)', tables.DELTA_G_END)} + CASE WHEN right(s, 1) IN ('G', 'C') THEN -1.96 ELSE -2.01 END > -9.0 THEN 0 ELSE 5.0 END
         + CASE WHEN {' OR '.join([f"contains(s, repeat('{a}', 5))" for a in 'ACGT'] + [f"contains(s, repeat('{a}{b}', 5))" for a in 'ACGT' for b in 'ACGT'])} THEN 10.0 ELSE 0 END AS penalty FROM c WHERE abs(tm - 60) <= 5)"""
 
@@ -415,7 +425,7 @@ def _queries(spark, sf):
     return g, g.select(F.col("chr").alias("query_id"), q.alias("query"))
 
 
-@register("exact_match_genome", f"{with_('genome')}, q AS (SELECT chr AS query_id, substr(seq, 101, 40) || 'ACGTTGCA' || substr(seq, 161, 40) AS s FROM genome WHERE chr % 5 = 0), d AS (SELECT query_id, true AS fwd, s FROM q UNION ALL SELECT query_id, false, reverse(translate(s, 'ACGT', 'TGCA')) FROM q), w AS (SELECT query_id, fwd, i AS q, substr(s, i + 1, 20) AS w FROM (SELECT *, unnest(range(length(s) - 19)) AS i FROM d)), t AS (SELECT chr, i AS t, substr(seq, i + 1, 20) AS w FROM (SELECT *, unnest(range(length(seq) - 19)) AS i FROM genome)), h AS (SELECT query_id, chr, fwd, q, t - q AS d FROM w JOIN t USING (w)), r AS (SELECT *, q - row_number() OVER (PARTITION BY query_id, chr, fwd, d ORDER BY q) AS run FROM h) SELECT query_id, chr, fwd, min(q) AS q_l, min(q) + d AS t_l, max(q) - min(q) + 20 AS n FROM r GROUP BY query_id, chr, fwd, d, run")
+@register("exact_match_genome", f"{with_('genome')}, q AS (SELECT chr AS query_id, substr(seq, 101, 40) || 'ACGTTGCA' || substr(seq, 161, 40) AS s FROM genome), d AS (SELECT query_id, true AS fwd, s FROM q UNION ALL SELECT query_id, false, reverse(translate(s, 'ACGT', 'TGCA')) FROM q), w AS (SELECT query_id, fwd, i AS q, substr(s, i + 1, 20) AS w FROM (SELECT *, unnest(range(length(s) - 19)) AS i FROM d)), t AS (SELECT chr, i AS t, substr(seq, i + 1, 20) AS w FROM (SELECT *, unnest(range(length(seq) - 19)) AS i FROM genome)), h AS (SELECT query_id, chr, fwd, q, t - q AS d FROM w JOIN t USING (w)), r AS (SELECT *, q - row_number() OVER (PARTITION BY query_id, chr, fwd, d ORDER BY q) AS run FROM h) SELECT query_id, chr, fwd, min(q) AS q_l, min(q) + d AS t_l, max(q) - min(q) + 20 AS n FROM r GROUP BY query_id, chr, fwd, d, run")
 def _(spark, sf):
     g, q = _queries(spark, sf)
     return alignment.match_runs(g, q, 20).select("query_id", "chr", "fwd", *(F.col(c).cast("long").alias(c) for c in ("q_l", "t_l", "n")))
