@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dna import _c
 
-MATCH, MISMATCH, OPEN, EXTEND = 40, -10, -40, -1
+
+@dataclass(frozen=True)
+class Scores:
+    """The scores of an alignment."""
+
+    match: int = 40
+    mismatch: int = -10
+    open: int = -40
+    extend: int = -1
 
 
 def diagonal(a: str, b: str, k: int) -> int | None:
@@ -22,7 +35,7 @@ def diagonal(a: str, b: str, k: int) -> int | None:
     return min(votes, key=lambda d: (-votes[d], d)) if votes else None
 
 
-def align(a: str, b: str, k: int = 10, width: int = 24) -> tuple[bool, str, str, int]:
+def align(a: str, b: str, k: int = 10, width: int = 24, scores: Scores = Scores()) -> tuple[bool, str, str, int]:
     """Global alignment within a band of that width around the usual diagonal, with affine gaps: aligned, rows a and b, score.
 
     Bases that one sequence has beyond the other's end stand against gaps and cost nothing.
@@ -47,14 +60,14 @@ def align(a: str, b: str, k: int = 10, width: int = 24) -> tuple[bool, str, str,
                 continue
             before = score[:, y - 1, x]
             best = int(before.argmax())
-            score[0, y, x] = before[best] + (MATCH if a[i - 1] == b[y - 1] else MISMATCH)
+            score[0, y, x] = before[best] + (scores.match if a[i - 1] == b[y - 1] else scores.mismatch)
             back[0, y, x] = best
             if x < width:
-                up = (score[0, y - 1, x + 1] + OPEN, score[1, y - 1, x + 1] + EXTEND, score[2, y - 1, x + 1] + OPEN)
+                up = (score[0, y - 1, x + 1] + scores.open, score[1, y - 1, x + 1] + scores.extend, score[2, y - 1, x + 1] + scores.open)
                 back[1, y, x] = int(np.argmax(up))
                 score[1, y, x] = max(up)
             if x > 0:
-                left = (score[0, y, x - 1] + OPEN, score[1, y, x - 1] + OPEN, score[2, y, x - 1] + EXTEND)
+                left = (score[0, y, x - 1] + scores.open, score[1, y, x - 1] + scores.open, score[2, y, x - 1] + scores.extend)
                 back[2, y, x] = int(np.argmax(left))
                 score[2, y, x] = max(left)
     ends = [(score[s, y, x], -s, y, x) for s in range(3) for y in range(m + 1) for x in range(width + 1) if 0 <= (i := start(y) + x) <= n and (y == m or i == n)]
@@ -80,12 +93,12 @@ def align(a: str, b: str, k: int = 10, width: int = 24) -> tuple[bool, str, str,
     return True, "".join(row_a)[::-1], "".join(row_b)[::-1], int(value)
 
 
-def aligned(a: Column | str, b: Column | str, k: int = 10, width: int = 24) -> Column:
+def aligned(a: Column | str, b: Column | str, k: int = 10, width: int = 24, scores: Scores = Scores()) -> Column:
     """struct(aligned, a, b, score) of each pair of a row."""
 
     @F.pandas_udf("aligned boolean, a string, b string, score long")
     def f(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([align(p, q, k, width) for p, q in zip(x, y, strict=True)], columns=["aligned", "a", "b", "score"])
+        return pd.DataFrame([align(p, q, k, width, scores) for p, q in zip(x, y, strict=True)], columns=["aligned", "a", "b", "score"])
 
     return f(_c(a), _c(b))
 
@@ -185,11 +198,73 @@ def match_runs(genome: DataFrame, queries: DataFrame, cutoff: int, key: str = "c
     return runs.groupBy(query_id, key, "fwd", "d", "run").agg(F.min("q").alias("q_l"), (F.max("q") - F.min("q") + cutoff).alias("n")).select(query_id, key, "fwd", "q_l", (F.col("q_l") + F.col("d")).alias("t_l"), "n")
 
 
-def group_matches(matches: DataFrame, tolerance: int, key: str = "chr", query_id: str = "query_id") -> DataFrame:
-    """Matches with cluster: those of a query, chromosome and strand whose diagonals follow each other within the tolerance."""
-    from pyspark.sql import Window
+def group_matches(matches: DataFrame, tolerance: int, query_length: str = "query_length", key: str = "chr", query_id: str = "query_id") -> DataFrame:
+    """matches with cluster, inferred_l, inferred_r: the clusters of each query, chromosome and strand, numbered from 0.
+
+    Matches are taken by their place in the query. The first of a cluster is its anchor and says where the query's ends would
+    lie; a match belongs to every cluster whose anchor predicts its ends to less than the tolerance, and has a row for each. A
+    match that belongs to none begins one. Matches are read as a sorted stream that holds the anchors of one query and chromosome.
+    """
+    own = F.when(F.col("fwd"), F.col("q_l")).otherwise(F.col(query_length) - F.col("q_l") - F.col("n"))
+    rows = matches.withColumn("__q", own.cast("long")).withColumn("__d", (F.col("t_l") - F.col("q_l")).cast("long")).withColumn("__length", F.col(query_length).cast("long"))
+    rows = rows.repartition(query_id, key, "fwd").sortWithinPartitions(query_id, key, "fwd", "__q", "t_l")
+    schema = T.StructType([*matches.schema.fields, *T._parse_datatype_string("cluster long, inferred_l long, inferred_r long").fields])
+    carried = matches.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, anchors = None, []
+        for batch in batches:
+            place, found = [], []
+            columns = (batch.column(c).to_pylist() for c in (query_id, key, "fwd", "__q", "t_l", "n", "__d", "__length"))
+            for i, (query, chromosome, fwd, q, t, n, d, length) in enumerate(zip(*columns, strict=True)):
+                if group != (query, chromosome, fwd):
+                    group, anchors = (query, chromosome, fwd), []
+                at = bisect.bisect_right(anchors, (d - tolerance, float("inf")))
+                met = []
+                while at < len(anchors) and anchors[at][0] < d + tolerance:
+                    met.append(anchors[at])
+                    at += 1
+                if not met:
+                    low = t - q if fwd else t + n - 1 - (length - q)
+                    met = [(d, len(anchors), low, low + length)]
+                    bisect.insort(anchors, met[0])
+                place += [i] * len(met)
+                found += [x[1:] for x in met]
+            out = [batch.column(c).take(pa.array(place, pa.int64())) for c in carried]
+            more = list(zip(*found, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([*out, *(pa.array(x, pa.int64()) for x in more)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def target_of(query_l: Column, target_l: Column, target_r: Column, fwd: Column, l: Column, r: Column) -> tuple[Column, Column]:
+    """Where l to r of a query would lie, by a match that begins at query_l and lies at target_l to target_r."""
+    return F.when(fwd, target_l + l - query_l).otherwise(target_r - r + query_l), F.when(fwd, target_l + r - query_l).otherwise(target_r - l + query_l)
+
+
+def core(a: str, b: str) -> tuple[int, int]:
+    """First and last column of two aligned rows in which neither has a gap at an end."""
+    return max(len(x) - len(x.lstrip("-")) for x in (a, b)), min(len(x.rstrip("-")) for x in (a, b)) - 1
+
+
+def evaluated(clusters: DataFrame, genome: DataFrame, queries: DataFrame, tolerance: int, scores: Scores = Scores(), key: str = "chr", query_id: str = "query_id", seq: str = "seq", query: str = "query") -> DataFrame:
+    """A row per cluster of group_matches(): query_id, key, fwd, cluster, n_matches, score, length, query_row, target_row.
+
+    The query is aligned with the inferred region and the tolerance around it, on the cluster's strand; length: of the alignment without its loose ends.
+    """
+    from ..functions import dna
+
+    found = clusters.groupBy(query_id, key, "fwd", "cluster", "inferred_l", "inferred_r").agg(F.count(F.lit(1)).alias("n_matches"))
+    start = F.greatest(F.lit(0), F.col("inferred_l") - tolerance).cast("int")
+    stop = F.least(F.length(seq) - 1, F.col("inferred_r") + tolerance).cast("int")
+    region = dna.substr(seq, start, stop - start + 1)
+    region = F.when(F.col("fwd"), region).otherwise(dna.revcomp(region))
+    both = found.join(genome.select(key, seq), key).withColumn("__target", region).drop(seq).join(queries.select(query_id, query), query_id)
+
+    @F.pandas_udf("score long, length long, query_row string, target_row string")
+    def f(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = [align(p, q, 20, 24, scores) for p, q in zip(x, y, strict=True)]
+        ends = [core(a, b) for _, a, b, _ in rows]
+        return pd.DataFrame({"score": [r[3] for r in rows], "length": [r - l + 1 for l, r in ends], "query_row": [r[1] for r in rows], "target_row": [r[2] for r in rows]})
 
-    d = F.col("t_l") - F.col("q_l")
-    line = Window.partitionBy(query_id, key, "fwd").orderBy(d, "q_l")
-    apart = (d - F.lag(d).over(line) > tolerance).cast("int")
-    return matches.withColumn("__apart", F.coalesce(apart, F.lit(0))).withColumn("cluster", F.sum("__apart").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("__apart")
+    return both.withColumn("__x", f(query, "__target")).select(query_id, key, "fwd", "cluster", "n_matches", "__x.*")

@@ -67,7 +67,29 @@ def _(spark, sf):
     return variants(spark, sf).select("okey", "line", vcf.hard_filter(vcf.dp4("info"), vcf.map_quality("info"), vcf.pv4("info")).alias("status"))
 
 
-@register("vcf_filter_full")
+def _sql_labels(status: str) -> str:
+    return f"CASE {status} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tables.VCF_STATUS.items()) + " END"
+
+
+_PACK = "{{'okey': {0}.okey, 'line': {0}.line, 'pos': {0}.pos, 'last': {0}.last, 'indel': {0}.indel, 'score': {0}.score, 'status': {1}}}"
+_STAGED = "s.status = 'PASS' AND v.hard = 'PASS'"
+#: One variant of each chromosome at a time; held has those within the window, gone those that it has left.
+_NEIGHBOURS = f"""{_V}, x AS (SELECT *, {' + '.join(_DP4)} AS d, {_DP4[2]} + {_DP4[3]} AS a, CAST(regexp_extract(info, 'MQ=(\\d+)', 1) AS INT) AS mq FROM variants),
+    v AS (SELECT chr, pos, okey, line, pos + length(ref) - 1 AS last, length(ref) <> length(alt) AS indel, CAST(trunc(qual) AS BIGINT) * 1000 + a AS score, {_HARD} AS hard,
+        row_number() OVER (PARTITION BY chr ORDER BY pos, ref, alt, qual, info, okey, line) AS k FROM x WHERE ref <> 'N' AND alt <> '.'),
+    RECURSIVE_r AS (SELECT chr, 1::BIGINT AS k, [{_PACK.format('v', 'v.hard')}] AS held, list_filter([{_PACK.format('v', 'v.hard')}], lambda s: false) AS gone FROM v WHERE k = 1
+        UNION ALL SELECT v.chr, v.k, list_append(list_transform(list_filter(r.held, lambda s: s.last + 10 >= v.pos), lambda s: {_PACK.format('s', f"""CASE
+            WHEN {_STAGED} AND s.indel = v.indel AND s.score <= v.score AND s.last + CASE WHEN v.indel THEN 10 ELSE 0 END >= v.pos THEN 'BETTER_NEIGHBORING_MUTATION'
+            WHEN {_STAGED} AND v.indel AND NOT s.indel AND s.last + 3 >= v.pos THEN 'NEIGHBORING_INDEL' ELSE s.status END""")}),
+          {_PACK.format('v', f"""CASE WHEN {_STAGED.replace("s.status = 'PASS' AND ", '')} AND len(list_filter(r.held, lambda s: s.status = 'PASS' AND (s.indel = v.indel AND s.score > v.score AND s.last + CASE WHEN v.indel THEN 10 ELSE 0 END >= v.pos
+            OR s.indel AND NOT v.indel AND s.last + 3 >= v.pos))) > 0 THEN CASE WHEN v.indel THEN 'BETTER_NEIGHBORING_MUTATION' ELSE 'NEIGHBORING_INDEL' END ELSE v.hard END""")}),
+          list_filter(r.held, lambda s: s.last + 10 < v.pos) FROM RECURSIVE_r AS r JOIN v ON v.chr = r.chr AND v.k = r.k + 1),
+    ends AS (SELECT chr, max(k) AS k FROM v GROUP BY chr),
+    f AS (SELECT chr, unnest(gone) AS s FROM RECURSIVE_r UNION ALL SELECT r.chr, unnest(held) FROM RECURSIVE_r AS r JOIN ends ON r.chr = ends.chr AND r.k = ends.k)
+    SELECT chr, s.pos AS pos, s.okey AS okey, s.line AS line, s.status AS status, {_sql_labels('s.status')} AS label FROM f""".replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_r", "r0")
+
+
+@register("vcf_filter_full", _NEIGHBOURS)
 def _(spark, sf):
     return variant_filter.filter_variants(variants(spark, sf)).select("chr", "pos", "okey", "line", "status", vcf.label("status").alias("label"))
 
@@ -425,16 +447,41 @@ def _queries(spark, sf):
     return g, g.select(F.col("chr").alias("query_id"), q.alias("query"))
 
 
-@register("exact_match_genome", f"{with_('genome')}, q AS (SELECT chr AS query_id, substr(seq, 101, 40) || 'ACGTTGCA' || substr(seq, 161, 40) AS s FROM genome), d AS (SELECT query_id, true AS fwd, s FROM q UNION ALL SELECT query_id, false, reverse(translate(s, 'ACGT', 'TGCA')) FROM q), w AS (SELECT query_id, fwd, i AS q, substr(s, i + 1, 20) AS w FROM (SELECT *, unnest(range(length(s) - 19)) AS i FROM d)), t AS (SELECT chr, i AS t, substr(seq, i + 1, 20) AS w FROM (SELECT *, unnest(range(length(seq) - 19)) AS i FROM genome)), h AS (SELECT query_id, chr, fwd, q, t - q AS d FROM w JOIN t USING (w)), r AS (SELECT *, q - row_number() OVER (PARTITION BY query_id, chr, fwd, d ORDER BY q) AS run FROM h) SELECT query_id, chr, fwd, min(q) AS q_l, min(q) + d AS t_l, max(q) - min(q) + 20 AS n FROM r GROUP BY query_id, chr, fwd, d, run")
+_MATCHES = f"""{with_('genome')}, q AS (SELECT chr AS query_id, substr(seq, 101, 40) || 'ACGTTGCA' || substr(seq, 161, 40) AS s FROM genome), d AS (SELECT query_id, true AS fwd, s FROM q UNION ALL SELECT query_id, false, reverse(translate(s, 'ACGT', 'TGCA')) FROM q), w AS (SELECT query_id, fwd, i AS q, substr(s, i + 1, 20) AS w FROM (SELECT *, unnest(range(length(s) - 19)) AS i FROM d)), t AS (SELECT chr, i AS t, substr(seq, i + 1, 20) AS w FROM (SELECT *, unnest(range(length(seq) - 19)) AS i FROM genome)), h AS (SELECT query_id, chr, fwd, q, t - q AS d FROM w JOIN t USING (w)), r AS (SELECT *, q - row_number() OVER (PARTITION BY query_id, chr, fwd, d ORDER BY q) AS run FROM h),
+    m AS (SELECT query_id, chr, fwd, min(q) AS q_l, min(q) + d AS t_l, max(q) - min(q) + 20 AS n FROM r GROUP BY query_id, chr, fwd, d, run)"""
+
+
+@register("exact_match_genome", f"{_MATCHES} SELECT * FROM m")
 def _(spark, sf):
     g, q = _queries(spark, sf)
     return alignment.match_runs(g, q, 20).select("query_id", "chr", "fwd", *(F.col(c).cast("long").alias(c) for c in ("q_l", "t_l", "n")))
 
 
-@register("group_matches")
-def _(spark, sf):
+#: One match of each query, chromosome and strand at a time; the anchors so far go along.
+_CLUSTERS = f"""{_MATCHES}, o AS (SELECT *, t_l - q_l AS d, CASE WHEN fwd THEN q_l ELSE 88 - q_l - n END AS q FROM m), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, chr, fwd ORDER BY q, t_l) AS k,
+        CASE WHEN fwd THEN t_l - q ELSE t_l + n - 1 - (88 - q) END AS low FROM o),
+    s AS (SELECT *, [{{'d': d, 'cluster': 0::BIGINT, 'low': low}}] AS anchors FROM k WHERE k = 1
+        UNION ALL SELECT k.*, CASE WHEN len(list_filter(s.anchors, lambda a: abs(a.d - k.d) < 15)) > 0 THEN s.anchors ELSE list_append(s.anchors, {{'d': k.d, 'cluster': len(s.anchors)::BIGINT, 'low': k.low}}) END
+        FROM s JOIN k ON s.query_id = k.query_id AND s.chr = k.chr AND s.fwd = k.fwd AND k.k = s.k + 1),
+    e AS (SELECT query_id, chr, fwd, q_l, t_l, n, unnest(list_filter(anchors, lambda a: abs(a.d - d) < 15)) AS a FROM s)
+    SELECT query_id, chr, fwd, q_l, t_l, n, a.cluster AS cluster, a.low AS inferred_l, a.low + 88 AS inferred_r FROM e""".replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _clusters(spark, sf):
     g, q = _queries(spark, sf)
-    return alignment.group_matches(alignment.match_runs(g, q, 20), 15)
+    found = alignment.match_runs(g, q, 20).select("query_id", "chr", "fwd", *(F.col(c).cast("long").alias(c) for c in ("q_l", "t_l", "n")))
+    return g, q, alignment.group_matches(found.join(q.select("query_id", F.length("query").alias("query_length")), "query_id"), 15).drop("query_length")
+
+
+@register("group_matches", _CLUSTERS)
+def _(spark, sf):
+    return _clusters(spark, sf)[2]
+
+
+@register("match_evaluate")
+def _(spark, sf):
+    g, q, found = _clusters(spark, sf)
+    return alignment.evaluated(found, g, q, 15)
 
 
 @register("dna_from_keys", f"SELECT c_custkey, {sql_dna32('c_custkey')} AS seq FROM customer")

@@ -208,9 +208,59 @@ def test_exact_match_genome_and_group_matches(spark):
     found = sorted(tuple(r) for r in queries_misc.QUERIES["exact_match_genome"](spark, SF).select(*columns).collect())
     assert {r[0] for r in found} == set(g)
     assert found == sorted(want)
-    clusters, last = [], {}
-    for r in sorted(want, key=lambda r: (*r[:3], r[4] - r[3], r[3])):
-        d, number = last.get(r[:3], (r[4] - r[3], 0))
-        last[r[:3]] = (r[4] - r[3], number + (r[4] - r[3] - d > 15))
-        clusters.append((*r, last[r[:3]][1]))
-    assert sorted(tuple(r) for r in queries_misc.QUERIES["group_matches"](spark, SF).select(*columns, "cluster").collect()) == sorted(clusters)
+    assert sorted(tuple(r) for r in queries_misc.QUERIES["group_matches"](spark, SF).select(*columns, "cluster", "inferred_l", "inferred_r").collect()) == sorted(clustered(want, 88))
+    for r in queries_misc.QUERIES["match_evaluate"](spark, SF).collect():
+        q = g[r.query_id][100:140] + "ACGTTGCA" + g[r.query_id][160:200]
+        assert r.query_row.replace("-", "") == q and r.target_row.replace("-", "") in (g[r.chr] if r.fwd else other(g[r.chr])) and r.score > 0 and 0 < r.length <= len(r.query_row)
+
+
+def clustered(matches, length, tolerance=15):
+    """Matches (query, chr, fwd, q_l, t_l, n) by the law itself, one after the other: with cluster and inferred ends."""
+    out, groups = [], {}
+    start = lambda m: m[3] if m[2] else length - m[3] - m[5]
+    for m in sorted(matches, key=lambda m: (*m[:3], start(m), m[4])):
+        anchors = groups.setdefault(m[:3], [])
+
+        def predicted(a):
+            l, r = start(m), start(m) + m[5] - 1
+            return (a[4] + l - start(a), a[4] + r - start(a)) if m[2] else (a[4] + a[5] - 1 - (r - start(a)), a[4] + a[5] - 1 - (l - start(a)))
+
+        met = [i for i, a in enumerate(anchors) if abs(predicted(a)[0] - m[4]) < tolerance and abs(predicted(a)[1] - (m[4] + m[5] - 1)) < tolerance]
+        if not met:
+            met = [len(anchors)]
+            anchors.append(m)
+        for i in met:
+            a = anchors[i]
+            low = a[4] - start(a) if a[2] else a[4] + a[5] - 1 - (length - start(a))
+            out.append((*m, i, low, low + length))
+    return out
+
+
+def test_clusters_are_anchored(spark):
+    """Matches whose diagonals drift aren't chained, and one between two anchors belongs to both."""
+    rows = [(1, 2, fwd, q, q + d, 20) for fwd in (True, False) for q, d in ((0, 0), (5, 10), (10, 20), (20, 12), (30, 40), (7, 14), (8, 15))]
+    df = spark.createDataFrame([(*r, 100) for r in rows], "query_id int, chr int, fwd boolean, q_l long, t_l long, n long, query_length int")
+    found = alignment.group_matches(df, 15).drop("query_length")
+    assert sorted(tuple(r) for r in found.collect()) == sorted(clustered(rows, 100))
+    assert len(clustered(rows, 100)) > len(rows) and alignment.group_matches(df.limit(0), 15).count() == 0
+    l, r = alignment.target_of(*(F.lit(x) for x in (10, 100, 119, False, 0, 50)))
+    assert tuple(spark.range(1).select(l, r).first()) == (79, 129)
+
+
+def test_variant_neighbours():
+    """Everything in the window is flagged before the variant itself is decided."""
+    import pandas as pd
+
+    from helixspark.operators.variant_filter import judge
+
+    rows = pd.DataFrame([(100, "AT", "A", 90, 9, "PASS"), (106, "C", "G", 50, 9, "PASS"), (108, "GT", "G", 10, 9, "PASS")], columns=["pos", "ref", "alt", "qual", "alt_depth", "status"])
+    assert judge(rows) == ["PASS", "NEIGHBORING_INDEL", "BETTER_NEIGHBORING_MUTATION"]
+
+
+PAIRS = [("TGATCTACTGACGTAT-TGATGCATCACTGATCTA", "TGATCTACT-ACGTATCTGATGCATCACTGATCTA"), ("TGATCTACTGACGTATCTGATGC------------", "TGATCTACTGACGTATCTGATGCATCACTGATCTA")]
+
+
+@pytest.mark.parametrize("a,b", PAIRS)
+def test_align_pairs(a, b):
+    assert alignment.align(a.replace("-", ""), b.replace("-", ""), 10, 20)[1:3] == (a, b)
+    assert alignment.align(a.replace("-", ""), b.replace("-", ""), 10, 20, alignment.Scores(match=1, mismatch=-1, open=-2, extend=-1))[3] < 40
