@@ -52,19 +52,32 @@ def revcomp_plain(s: Column | str) -> Column:
     return F.reverse(F.translate(_c(s), "TtCcAaGgNn \n\r-", "AaGgTtCcNn  \r-"))
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is evaluated once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), F.lit(1))
+
+
+def _amino_acid(codon: Column, code: str) -> Column:
+    """Amino acid of a codon in upper case."""
+    letters = [F.substring(codon, i, 1) for i in (1, 2, 3)]
+    at = [F.call_function("instr", F.lit(tables.BASES), x) for x in letters]
+    whole = (F.length(codon) == 3) & (at[0] > 0) & (at[1] > 0) & (at[2] > 0)
+    known = F.length(codon) == 3
+    for x in letters:
+        known = known & (F.call_function("instr", F.lit(tables.BASES + "N"), x) > 0)
+    return F.when(whole, F.substring(F.lit(code), at[0] * 16 + at[1] * 4 + at[2] - 20, F.lit(1))).when(known, F.lit("?"))
+
+
 def codon_to_aa(codon: Column | str, code: str = tables.AMINO_ACIDS) -> Column:
     """Amino acid of a codon; ? with an N in it, null with any other letter."""
-    u = F.upper(_c(codon))
-    at = [F.call_function("instr", F.lit(tables.BASES), F.substring(u, i, 1)) - 1 for i in (1, 2, 3)]
-    index = at[0] * 16 + at[1] * 4 + at[2] + 1
-    return F.when(u.rlike("^[ACGT]{3}$"), F.substring(F.lit(code), index, F.lit(1))).when(u.rlike("^[ACGTN]{3}$"), F.lit("?"))
+    return _let(F.upper(_c(codon)), lambda c: _amino_acid(c, code))
 
 
 def translate(s: Column | str, code: str = tables.AMINO_ACIDS) -> Column:
     """Protein of frame 0; one or two bases at the end are ignored."""
-    s = _c(s)
-    n = F.floor(F.length(s) / 3).cast("int")
-    return F.array_join(F.transform(positions(n - 1), lambda i: codon_to_aa(substr(s, i * 3, 3), code)), "")
+    n = lambda t: F.floor(F.length(t) / 3).cast("int")
+    each = lambda t: F.transform(positions(n(t) - 1), lambda i: _let(substr(t, i * 3, 3), lambda c: _amino_acid(c, code)))
+    return _let(F.upper(_c(s)), lambda t: F.array_join(each(t), ""))
 
 
 def trigram(aa: Column | str) -> Column:

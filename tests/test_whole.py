@@ -264,3 +264,32 @@ PAIRS = [("TGATCTACTGACGTAT-TGATGCATCACTGATCTA", "TGATCTACT-ACGTATCTGATGCATCACTG
 def test_align_pairs(a, b):
     assert alignment.align(a.replace("-", ""), b.replace("-", ""), 10, 20)[1:3] == (a, b)
     assert alignment.align(a.replace("-", ""), b.replace("-", ""), 10, 20, alignment.Scores(match=1, mismatch=-1, open=-2, extend=-1))[3] < 40
+
+
+def test_regions_of_a_long_chromosome(spark):
+    """Regions over many tiles, short chromosomes, and lengths about a tile's, by plain Python."""
+    import random
+
+    from helixspark.plans import intervals
+
+    rng = random.Random(4)
+    seqs = {i: "".join(rng.choice("ACGT") for _ in range(n)) for i, n in enumerate((1, 2, 3, 4, 899, 900, 901, 902, 903, 1801, 5000))}
+    seqs[50] = "".join(rng.choice("AC") for _ in range(4001)) + "TAA" + "".join(rng.choice("AC") for _ in range(2000))  # without stops for many tiles
+    df = spark.createDataFrame(list(seqs.items()), "chr int, seq string")
+    code = {r.codon: r.aa for r in spark.createDataFrame([(a + b + c,) for a in "ACGT" for b in "ACGT" for c in "ACGT"], "codon string").select("codon", dna.codon_to_aa("codon").alias("aa")).collect()}
+    want = []
+    for k, seq in seqs.items():
+        n = len(seq)
+        for fwd in (True, False):
+            s = seq if fwd else other(seq)
+            for frame in range(3):
+                at, aa = frame, ""
+                for i in range(frame, n - 2, 3):
+                    if code[s[i : i + 3]] == "*":
+                        want.append((k, fwd, frame, *((at, i + 2) if fwd else (n - 1 - i - 2, n - 1 - at)), aa, True))
+                        at, aa = i + 3, ""
+                    else:
+                        aa += code[s[i : i + 3]]
+                if at <= n - 1:
+                    want.append((k, fwd, frame, *((at, n - 1) if fwd else (0, n - 1 - at)), aa, False))
+    assert sorted(tuple(r) for r in intervals.coding_regions(df).collect()) == sorted(want)
