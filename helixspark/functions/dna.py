@@ -114,7 +114,7 @@ def split_after(s: Column | str, i: int) -> Column:
 
 def _before(q: Column) -> Column:
     """Pattern that matches, without width, before each occurrence of q."""
-    return F.concat(F.lit("(?=\\Q"), q, F.lit("\\E)"))
+    return F.concat(F.lit("(?=\\Q"), F.replace(q, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
 
 
 def indices_of(s: Column | str, q: Column | str) -> Column:

@@ -35,20 +35,33 @@ def load_index(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def suffixes(df: DataFrame, key: str, text: str, length: int = 64) -> DataFrame:
+#: Letters of a suffix that an index keeps.
+SUFFIX = 64
+
+
+def suffixes(df: DataFrame, key: str, text: str, length: int = SUFFIX) -> DataFrame:
     """key, pos, suffix: the suffixes of texts, cut to a length; sorted by suffix they are a suffix array."""
     at = F.explode(dna.positions(F.length(text) - 1)).alias("pos")
     return df.select(key, text, at).select(key, "pos", dna.substr(text, F.col("pos"), length).alias("suffix"))
 
 
-def find_all(index: DataFrame, queries: DataFrame, key: str, query: str = "query") -> DataFrame:
-    """query, key, pos of all occurrences of queries of the same length k, by an equi-join with the suffixes' first k letters. index: of suffixes()."""
-    q = queries.withColumn("__n", F.length(query))
-    sizes = [r[0] for r in q.select("__n").distinct().limit(65).collect()]
-    if len(sizes) > 64:
-        raise ValueError("queries of at most 64 lengths at a time")
-    parts = [index.select(key, "pos", F.substring("suffix", 1, n).alias("__s")).join(q.filter(F.col("__n") == n).select(query), F.col("__s") == F.col(query)).select(query, key, "pos") for n in sizes]
-    out = parts[0] if parts else index.select(F.lit("").alias(query), key, "pos").limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def find_all(index: DataFrame, queries: DataFrame, key: str, query: str = "query", length: int = SUFFIX) -> DataFrame:
+    """query, key, pos of all occurrences of queries, however long. index: of suffixes() with the same length.
+
+    A query is cut into blocks of that length. A block meets the suffixes that begin with it in an equi-join on its first letters, as many as
+    the largest power of two that it has, and a query is where all its blocks are, one behind the other. Empty and null queries have no occurrence.
+    """
+    q = queries.select(query).distinct().filter(F.length(query) > 0)
+    starts = F.sequence(F.lit(0), F.length(query) - 1, F.lit(length))
+    blocks = q.select(query, F.size(starts).alias("__blocks"), F.explode(starts).alias("__at")).withColumn("__b", F.substring(query, F.col("__at") + 1, F.lit(length)))
+    found = None
+    n = 1
+    while n <= length:
+        own = blocks.filter(F.length("__b") >= n)
+        own = own.filter(F.length("__b") < 2 * n) if 2 * n <= length else own
+        own = own.withColumn("__s", F.substring("__b", 1, n))
+        hits = index.withColumn("__s", F.substring("suffix", 1, n)).join(own, "__s").filter(F.startswith("suffix", F.col("__b")))
+        hits = hits.select(query, key, "__blocks", (F.col("pos") - F.col("__at")).alias("pos"))
+        found = hits if found is None else found.unionByName(hits)
+        n *= 2
+    return found.groupBy(query, key, "pos", "__blocks").agg(F.count(F.lit(1)).alias("__n")).filter("__n = __blocks").select(query, key, "pos")

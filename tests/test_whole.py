@@ -293,3 +293,49 @@ def test_regions_of_a_long_chromosome(spark):
                 if at <= n - 1:
                     want.append((k, fwd, frame, *((at, n - 1) if fwd else (0, n - 1 - at)), aa, False))
     assert sorted(tuple(r) for r in intervals.coding_regions(df).collect()) == sorted(want)
+
+
+def test_short_primers_and_products(spark):
+    """Primers of any length hit, and the nearest reverse site behind counts."""
+    import random
+
+    from helixspark.plans import pcr
+
+    rng = random.Random(9)
+    g = {k: "".join(rng.choice("ACGT") for _ in range(600)) for k in (1, 2)}
+    g[1] = g[1][:100] + "ACGTTGCA" + g[1][100:300] + "ACGTTGCA" + g[1][300:]
+    primers = ["ACGTTGCA", "A", "GG", g[2][50:63], g[1][200:241], other(g[2][400:412]), ""]
+    gs = spark.createDataFrame(list(g.items()), "chr int, seq string")
+    found = pcr.primer_hits(gs, spark.createDataFrame(list(enumerate(primers)), "primer_id int, primer string"))
+    want = [(i, c, at, fwd) for i, p in enumerate(primers) if p for c, t in g.items() for fwd, s in ((True, p), (False, other(p))) for at in range(len(t)) if t.startswith(s, at)]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert pcr.primer_hits(gs, spark.createDataFrame([], "primer_id int, primer string")).count() == 0
+    pairs = [(0, "AC", "GT"), (1, "ACG", "TGC"), (2, g[2][50:65], other(g[2][300:320]))]
+    want = set()
+    for i, a, b in pairs:
+        for c, t in g.items():
+            for fwd, s in ((True, t), (False, other(t))):
+                for x in (x for x in range(len(s)) if s.startswith(a, x)):
+                    ends = [y + len(b) for y in range(x + len(a), len(s)) if s.startswith(other(b), y)]
+                    if ends and ends[0] - x <= 300:
+                        want.add((i, c, *((x, ends[0] - 1) if fwd else (len(t) - ends[0], len(t) - 1 - x))))
+    found = pcr.products(gs, spark.createDataFrame(pairs, "pair_id int, fwd_primer string, rev_primer string"), 300)
+    assert {(r.pair_id, r.chr, r.l, r.r) for r in found.collect()} == want
+    for r in pcr.product_bases(found, gs).collect():
+        assert r.product == (g[r.chr][r.l : r.r + 1] if r.fwd else other(g[r.chr][r.l : r.r + 1]))
+
+
+def test_long_queries_in_suffixes(spark):
+    from helixspark.plans import kmers
+
+    texts = [(1, "abcdefgh" * 40 + "x"), (2, "y" + "abcdefgh" * 20), (3, ""), (4, "aaaa")]
+    queries = ["a", "aa", "abcdefgh" * 10, "abcdefgh" * 8, "h" + "abcdefgh" * 9 + "abc", "abcdefgh" * 39 + "abcdefghx", "abcdefgh" * 41, "", "zz"]
+    index = kmers.suffixes(spark.createDataFrame(texts, "id int, text string"), "id", "text")
+    found = kmers.find_all(index, spark.createDataFrame([(q,) for q in queries], "query string"), "id")
+    want = [(q, i, at) for q in queries if q for i, t in texts for at in range(len(t)) if t.startswith(q, at)]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_queries_with_quoting_ends(spark):
+    s, q = "a\\Eb\\E\\Ec", "\\E"
+    assert spark.createDataFrame([(s, q)], "s string, q string").select(dna.indices_of("s", "q"), dna.count_of("s", "q")).first()[:] == ([1, 4, 6], 3)
