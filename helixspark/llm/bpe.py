@@ -6,7 +6,7 @@ repeat, so each Python worker keeps the ids of those it has met, up to a fixed n
 vocabulary's byte strings.
 
 Defined results: null and empty texts have no ids and decode to the empty text. Order, repeated rows, null identifiers and
-extra columns make no difference: each row is encoded by itself. The vocabulary file's special tokens are found in texts
+extra columns make no difference: each row is encoded by itself. Very long texts are encoded whole; an empty table gives an empty result. The vocabulary file's special tokens are found in texts
 first, as the file says.
 """
 

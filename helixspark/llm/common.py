@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,9 +47,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where that is unset, as in local tests, one of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Only where that is unset, as in local tests, one of our own; an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark.sparkContext, "_helixspark_shared", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = os.path.join(tempfile.gettempdir(), "checkpoints", f"helixspark-{uuid.uuid4().hex}")
         os.makedirs(own)
         atexit.register(shutil.rmtree, own, True)
@@ -55,9 +60,36 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths made since tidy() was entered, the innermost last.
+_made: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what is staged inside at its end, but for the staged tables that are handed to what it yields."""
+    kept: list[str] = []
+    _made.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._staged)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in _made.pop():
+            if path not in kept:
+                remove(spark, path)
+            elif _made:
+                _made[-1].append(path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

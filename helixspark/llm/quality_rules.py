@@ -1,11 +1,11 @@
 """Quality rules as a ledger of bitmasks.
 
 Every rule is evaluated once for each document; the ledger keeps the measurements and one bit per failed rule. Policies are
-versioned masks over those bits, applied to the ledger without touching the texts again, and ablations come from counts by
-mask, of which there are at most two to the number of rules.
+versioned masks over those bits, applied to the stored ledger without touching the texts again, and ablations come from counts by
+mask, of which there are at most two to the number of rules. Windows are compared word by word where their hashes agree.
 
 Defined results: null and empty texts have no words and fail few_words. Rows are judged by themselves, so ties, repeated
-rows and null identifiers make no difference; an empty table gives an empty ledger. Other columns are carried along,
+rows and null identifiers make no difference; very long texts are measured whole; an empty table gives an empty ledger. Other columns are carried along,
 except those named as the ledger's own, which are replaced.
 """
 
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import ship, staged, text_of
 from .words import slices, words_of
 
 # The symbols that are counted, and the words of a window.
@@ -45,24 +45,37 @@ def repeat_words(words: list[str], lengths: np.ndarray) -> np.ndarray:
     n = len(words)
     if n < WINDOW:
         return np.zeros(len(lengths), dtype=np.int64)
-    h = np.fromiter(map(hash, words), dtype=np.int64, count=n).astype(np.uint64)
-    doc = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
+    number = pd.factorize(np.array(words, dtype=object))[0]
+    doc = np.repeat(np.arange(len(lengths)), lengths)
     m = n - WINDOW + 1
     odd = np.random.default_rng(11).integers(1, 2**63, WINDOW + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    key = (doc[:m] + np.uint64(1)) * odd[WINDOW]
+    key = (doc[:m] + 1).astype(np.uint64) * odd[WINDOW]
     for j in range(WINDOW):
-        key += (h[j : m + j] ^ (h[j : m + j] >> np.uint64(29))) * odd[j]
+        h = number[j : m + j].astype(np.uint64) + np.uint64(1)
+        key += (h ^ (h << np.uint64(17))) * odd[j]
     inside = np.flatnonzero(doc[:m] == doc[WINDOW - 1 :])
     order = np.argsort(key[inside], kind="stable")
-    sorted_key = key[inside][order]
+
+    def equal(order: np.ndarray) -> np.ndarray:
+        """Whether neighbours in this order are the same window of the same text."""
+        at = inside[order]
+        out = doc[at[1:]] == doc[at[:-1]]
+        for j in range(WINDOW):
+            out &= number[at[1:] + j] == number[at[:-1] + j]
+        return out
+
+    own = equal(order)
+    if (own != (key[inside][order][1:] == key[inside][order][:-1])).any():  # different windows of one hash may lie between equal ones
+        order = np.lexsort([*(number[inside + j] for j in range(WINDOW)), doc[inside]])
+        own = equal(order)
     same = np.zeros(len(order) + 1, dtype=bool)
-    same[1:-1] = sorted_key[1:] == sorted_key[:-1]
+    same[1:-1] = own
     found = inside[order[same[1:] | same[:-1]]]
     edge = np.zeros(n + 1, dtype=np.int64)
     np.add.at(edge, found, 1)
     np.add.at(edge, found + WINDOW, -1)
     hit = np.cumsum(edge[:-1]) > 0
-    return np.bincount(doc[hit].astype(np.int64), minlength=len(lengths))
+    return np.bincount(doc[hit], minlength=len(lengths))
 
 
 def measure(texts: list[str]) -> dict[str, np.ndarray]:
@@ -105,6 +118,11 @@ def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.drop("__measured").withColumn("failed", failed.cast("long"))
 
 
+def stored(ledger: DataFrame, id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ledger's identifiers, measurements and bits, written and read again: what policies and ablations are applied to."""
+    return staged(ledger.select(*id_cols, *MEASURES, "failed"), "rules-ledger")
+
+
 def fails(policy: str, failed: str = "failed") -> Column:
     return F.col(failed).bitwiseAND(F.lit(POLICIES[policy])) != 0
 
@@ -126,6 +144,5 @@ def ablations(ledger: DataFrame, policy: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, text_col: str = "text", policy: str = "v1") -> DataFrame:
     """The rows of docs that the policy keeps, with their columns."""
-    named = docs.select(*docs.columns, text_of(text_col).alias("__text"))
-    bare = named.select(F.struct(*docs.columns).alias("__row"), "__text")
+    bare = docs.select(F.struct(*docs.columns).alias("__row"), text_of(text_col).alias("__text"))
     return ledger(bare, "__text").filter(~fails(policy)).select("__row.*")

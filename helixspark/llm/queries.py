@@ -33,7 +33,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = text_of("text")
-    return sharding.shard_documents(docs, SHARDS, seed=20240229).select(
+    written = sharding.write_shards(sharding.shard_documents(docs, SHARDS, seed=20240229), scratch(spark, "shards"))
+    return written.select(
         "doc_id",
         (F.octet_length(text) + sharding.OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -56,11 +57,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ledger = quality_rules.stored(quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed"]
     return ledger.select("doc_id", *columns, quality_rules.fails("base").alias("base_failed"), (~quality_rules.fails("v1")).alias("kept"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = quality_rules.stored(quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return quality_rules.ablations(ledger, "v1")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_minhash": op9_minhash,
     "op10_quality_classifier": op10_quality_classifier,
+    "quality_ablations": quality_ablations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -118,3 +125,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed, base_failed, failed = 0 AS kept FROM f
     """,
 }
+
+_RULES = "(VALUES " + ", ".join(f"('{name}', {bit})" for name, bit in quality_rules.BITS.items()) + ") AS rules(rule, bit)"
+ORACLE_SQL["quality_ablations"] = f"""
+    SELECT rule, count(*) FILTER (WHERE failed & bit <> 0) AS n_failed, count(*) FILTER (WHERE failed = bit) AS n_only,
+           count(*) FILTER (WHERE failed IN (0, bit)) AS n_kept_without, count(*) FILTER (WHERE failed = 0) AS n_kept
+    FROM ({ORACLE_SQL["op6_quality_rules"]}) AS ledger, {_RULES} GROUP BY rule
+"""

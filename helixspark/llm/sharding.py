@@ -1,7 +1,7 @@
 """Sharding by a two-pass external shuffle.
 
 Pass one scatters the rows uniformly into buckets that fit in memory, by a seeded hash; pass two shuffles each bucket
-by Fisher-Yates and gives its rows their places. The places of all buckets follow each other, so a row's global place,
+by Fisher-Yates, gives its rows their places and writes them. The places of all buckets follow each other, so a row's global place,
 and with it shard and slot, is its place in the bucket plus the rows of all earlier buckets. Law: counts of shards are
 at most one apart.
 
@@ -9,7 +9,8 @@ The result depends on seed, identifiers, texts and their number only. Rows equal
 where that makes a bucket larger than four times its bound, the bucket is split by the rows' places in the input, and
 its order then depends on the input's files as well.
 
-Defined results: null text has no bytes; null identifiers are hashed with their text. An empty table gives an empty
+Defined results: null text has no bytes; null identifiers are hashed with their text. Very long texts are rows like others; a bucket
+holds whole rows. An empty table gives an empty
 result with the same columns. Extra columns are carried along; columns named shard or slot are replaced.
 """
 
@@ -85,6 +86,10 @@ def shard_documents(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "
     return rows.groupBy("__key").cogroup(starts.groupBy("__bucket")).applyInArrow(shuffled, schema)
 
 
-def write_shards(sharded: DataFrame, path: str, files: int) -> None:
-    """Write shards as folders shard=N of Parquet files, rows in the order of their slots."""
-    sharded.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(sharded: DataFrame, path: str) -> DataFrame:
+    """Write each bucket's rows to the shards that they fall into, as folders shard=N of Parquet files; returns what is written.
+
+    A bucket lies in one shard or in neighbouring ones, so a task writes few files. Slots give the order within a shard.
+    """
+    sharded.write.partitionBy("shard").parquet(path)
+    return sharded.sparkSession.read.schema(sharded.schema).parquet(path).select(*sharded.columns)

@@ -3,7 +3,8 @@
 Records are range-partitioned by identifier and sorted; each task rolls to a new file when the compressed size is reached,
 regenerates headers and digests, writes under a temporary name and renames when the file is whole. The manifest is
 written last, by Spark's own committer; readers take only files that it lists. A task that runs twice writes the same bytes
-under the same names. Ranges come from a histogram of the identifiers, so they depend on the data only.
+under the same names. Ranges begin where the exact sum of all smaller identifiers' bytes reaches a multiple of a part's, so they depend
+on the data only, whatever the identifiers are.
 
 Of records with equal payloads the one with the smallest identifier is the response. Which rows are revisits is found on
 digests alone, pre-aggregated, and travels to the writer as marker rows through the same range partitioning, so payloads
@@ -11,27 +12,29 @@ are shuffled once.
 
 Defined results: null payloads are empty; null URLs give no target header. Null identifiers sort first, and are a
 response only if no other row has the payload. Of repeated rows of one identifier and payload, one is the response
-and the others are revisits of that identifier. An empty table gives an empty archive. Extra columns are ignored.
+and the others are revisits of that identifier. Very long payloads are written whole, each in the memory of one task; many rows of one
+identifier are one part of several files. An empty table gives an empty archive. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import uuid
 import zlib
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import offsets, remove, ship, text_of
+from .common import offsets, remove, ship, staged, text_of
 
-#: Ranges of identifiers in the histogram; bounds the table that is broadcast.
-BINS = 1 << 14
+#: Parts at most; bounds the list of where they begin.
+PARTS = 50_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.UUID("5b0e7f3c-52a4-5d1c-9c1b-0d6a4c9a8e11")
 
@@ -90,6 +93,25 @@ def _store(uri: str):
 MANIFEST = "file string, part int, roll int, n_records long, n_bytes long, sha256 string"
 
 
+def _begins(slim: DataFrame, part_bytes: int) -> list[int]:
+    """The smallest identifier of each part, PARTS at most. slim: id, n.
+
+    Identifiers are sorted by ranges, of which each has its sum; a range then only needs the sum of those before it.
+    """
+    spark = slim.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = slim.filter("id IS NOT NULL").groupBy("id").agg(F.sum(F.col("n") + 512).alias("size"))
+    sizes = staged(sizes.repartitionByRange(ranges, "id").withColumn("range", F.spark_partition_id().cast("long")), "warc-sizes")
+    totals = sizes.groupBy("range").agg(F.sum("size").alias("sum"))
+    part_bytes = max(part_bytes, (totals.agg(F.sum("sum")).first()[0] or 0) // PARTS)
+    before = offsets(totals, "range", "sum", "before").select("range", "before")
+    own = Window.partitionBy("range").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("own", F.coalesce(F.sum("size").over(own), F.lit(0))).join(before, "range")
+    part = F.floor((F.col("before") + F.col("own")) / part_bytes)
+    found = sizes.groupBy(part.alias("part")).agg(F.min("id").alias("id")).collect()
+    return sorted(r.id for r in found)
+
+
 def write_archives(
     pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", file_bytes: int = 256 << 20, part_bytes: int = 16 << 20, least_revisit: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 6
 ) -> DataFrame:
@@ -105,18 +127,19 @@ def write_archives(
     copies = entries.select("salt", "digest").join(total, "digest")
     marks = slim.join(copies, ["salt", "digest"]).filter("id > first OR (id IS NULL AND first IS NOT NULL)").select("id", "digest", "first").distinct()
 
-    low, high, n_bytes = slim.agg(F.min("id"), F.max("id"), F.sum(F.col("n") + 512)).first()
-    low, n_bytes = low or 0, n_bytes or 0
-    width = max(1, math.ceil(((high or 0) - low + 1) / BINS))
-    part_bytes = max(part_bytes, n_bytes // 50_000)
-    at = F.floor((F.coalesce("id", F.lit(low)) - low) / width)
-    bins = offsets(slim.groupBy(at.alias("bin")).agg(F.sum(F.col("n") + 512).alias("size")), "bin", "size", "before")
-    bins = bins.select("bin", F.floor(F.col("before") / part_bytes).cast("int").alias("part"))
-    parts = n_bytes // part_bytes + 1
+    starts = np.array(_begins(slim, part_bytes), dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        out = np.zeros(len(ids), dtype=np.int32)
+        out[known] = np.maximum(np.searchsorted(starts, ids[known].astype("int64").to_numpy(), "right") - 1, 0)
+        return pd.Series(out)
+
     both = rows.withColumn("kind", F.lit(1)).withColumn("first", F.lit(None).cast("long")).withColumn("digest", F.lit(None).cast("binary"))
     both = both.unionByName(marks.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    both = both.withColumn("bin", at).join(F.broadcast(bins), "bin").drop("bin")  # at most BINS rows
-    both = both.repartitionById(int(parts), F.col("part")).sortWithinPartitions("part", "id", "kind", "url", "digest", F.sha1("payload"))
+    both = both.withColumn("part", part_of(F.col("id").cast("string")))  # as text, for null makes numbers of pandas inexact
+    both = both.repartitionById(max(1, len(starts)), F.col("part")).sortWithinPartitions("part", "id", "kind", "url", "digest", F.sha1("payload"))
 
     def write(batches):
         store, root = _store(path)

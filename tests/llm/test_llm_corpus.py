@@ -45,9 +45,9 @@ def test_sharding(spark, bucket):
 
 def test_shard_files(spark, tmp_path):
     got = sharding.shard_documents(docs(spark, [(i, str(i)) for i in range(100)]), 4)
-    sharding.write_shards(got, str(tmp_path / "s"), 4)
-    back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == 100 and back.select("shard").distinct().count() == 4
+    back = sharding.write_shards(got, str(tmp_path / "s"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, got.collect())) and back.select("shard").distinct().count() == 4
+    assert len(list((tmp_path / "s").glob("shard=*"))) == 4
 
 
 def test_fisher_yates():
@@ -105,6 +105,32 @@ def test_warc(spark):
     assert [r.record_type for r in all_full.orderBy("page_id").collect()] == ["response", "response", "response", "revisit"]
 
 
+def test_warc_wide_and_clustered_ids(spark):
+    """Identifiers at both ends of their type, and many in a row with one far away, make even parts."""
+    ends = [(s * 9_223_372_036_854_775_000 + i, "u", f"page {i} " * 20) for s in (-1, 1) for i in range(30)]
+    _, manifest, back = archive(spark, ends, part_bytes=8000)
+    assert sorted(r.page_id for r in back.collect()) == sorted(r[0] for r in ends)
+    assert manifest.count() >= 4 and manifest.agg(F.max("n_records")).first()[0] <= 15
+    row = [(i, "u", f"page {i}") for i in range(400)] + [(10**15, "u", "far")]
+    _, manifest, back = archive(spark, row, part_bytes=20_000)
+    assert back.count() == 401 and manifest.count() >= 8 and manifest.agg(F.max("n_records")).first()[0] <= 50
+
+
+def test_warc_query(spark):
+    from helixspark.llm.queries import op4_warc
+
+    p = pd.read_parquet(f"{SF}/pages.parquet")
+    first = {}
+    for i, h in sorted(zip(p.page_id, p.html.fillna(""))):
+        first.setdefault(h, i)
+    got = op4_warc(spark, SF).toPandas().set_index("page_id")
+    assert len(got) == len(p)
+    for i, h in zip(p.page_id, p.html.fillna("")):
+        b, r = h.encode(), got.loc[i]
+        assert r.payload_bytes == len(b) and r.payload_digest == base64.b32encode(hashlib.sha1(b).digest()).decode()
+        assert (r.record_type == "response" and pd.isna(r.refers_to)) if first[h] == i else (r.record_type == "revisit" and r.refers_to == first[h])
+
+
 def test_warc_damage():
     data = warc.record("response", 1, "http://x", b"abc", warc.sha1_32(b"abc"), "2024-01-01T00:00:00Z")
     assert warc.parse(data)[1].endswith(b"abc")
@@ -324,3 +350,53 @@ def test_pipeline(spark):
     assert labels.reindex(good).dropna().mean() > 0.97
     assert packing.CAPACITY >= packed.groupby("sequence_id").length.sum().max()
     assert len(corpus_pipeline.run(spark, SF).toPandas()) == len(packed)
+
+
+ODD_DOCS = [(None, None, None, None, None), (None, "", "en", None, 0), (900_001, None, None, "x", None), (900_002, "", "en", "x", 0), (900_003, "word " * 60_000, "en", "x", 300_000)]
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, ties, extra columns with clashing names."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    rows = [tuple(r) for r in d.collect()]
+    rows += [*ODD_DOCS, rows[0], rows[0], (900_004, *rows[1][1:]), (None, *rows[2][1:]), (900_005, rows[3][1] + " end", *rows[3][2:])]
+    more = "score double, failed long, component_id long, sequence_id string, digest binary, row long, __text string"
+    clash = [(0.5, 1, 2, "s", b"d", 3, "t")] * len(rows)
+    kinds = ", ".join(f"{n} {t}" for n, t in d.dtypes)
+    return spark.createDataFrame([(*r, *c) for r, c in zip(rows, clash, strict=True)], f"{kinds}, {more}")
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    docs = odd_documents(spark)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        got = out.toPandas()
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert out.exceptAll(docs).isEmpty()
+            kept[name] = got
+        else:
+            ids = docs.toPandas().doc_id
+            assert set(got.doc_id.dropna()) == set(ids.dropna()) and got.doc_id.isna().any() and got.groupby("sequence_id").length.sum().max() <= packing.CAPACITY
+            assert (got[got.doc_id == 900_003].length.sum() - 1) % 60_000 == 0
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert 900_002 not in set(kept["quality_rules"].doc_id) and len(kept["exact_dedup"]) == len(set(kept["exact_dedup"].text.fillna("")))
+    near = kept["minhash"]
+    assert 900_005 not in set(near.doc_id) and {900_001, 900_002} <= set(near.doc_id) and near.doc_id.isna().sum() == 3
+
+
+def test_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())

@@ -53,6 +53,23 @@ def test_bpe_operator(spark, library):
     assert {r.doc_id: r.decoded for r in back.collect()} == dict(enumerate(ODD))
 
 
+def test_bpe_query(spark, library):
+    """The registered query over the whole table, against the library."""
+    import pandas as pd
+
+    from helixspark.llm.queries import op2_bpe
+
+    t = library["byte_bpe_50k.json"]
+    d = pd.read_parquet(f"{SF}/documents.parquet")
+    got = op2_bpe(spark, SF).toPandas().set_index("doc_id")
+    assert sorted(got.index) == sorted(d.doc_id)
+    for i, text in zip(d.doc_id, d.text.fillna("")):
+        ids = t.encode(text, add_special_tokens=False).ids
+        own = got.loc[i]
+        assert own.n_tokens == len(ids) and own.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert own.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="<>|/[]INSTs\\ab\n_"))
 def test_escape(text):
@@ -195,10 +212,24 @@ def test_rules(spark):
     assert quality_rules.ledger(docs(spark, [])).count() == 0
 
 
+def test_windows_of_one_hash(monkeypatch):
+    """Windows whose hashes collide are told apart."""
+    words = [*"a b c d e f a b c d e g h i j k".split(), *"a b c d e".split()]
+    want = quality_rules.repeat_words(words, np.array([16, 5]))
+    assert want.tolist() == [10, 0]
+
+    class Rng:
+        def integers(self, low, high, size, dtype):
+            return np.zeros(size, dtype=np.uint64)
+
+    monkeypatch.setattr(np.random, "default_rng", lambda seed: Rng())
+    assert quality_rules.repeat_words(words, np.array([16, 5])).tolist() == [10, 0]
+
+
 def test_rules_oracle(spark, duck):
     from conftest import rows
 
     from helixspark.llm.queries import ORACLE_SQL, QUERIES
 
-    for name in ("op6_quality_rules", "op7_exact_dedup"):
+    for name in ("op6_quality_rules", "op7_exact_dedup", "quality_ablations"):
         assert rows(QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(ORACLE_SQL[name]).df())
