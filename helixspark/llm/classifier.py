@@ -7,7 +7,7 @@ vector pools those of its words. The network has one hidden layer, is trained by
 rows, and its temperature is fitted on labelled rows kept out of the training.
 
 Defined results: null and empty texts have the vector of no words and are scored like any other. Null identifiers and
-null labels teach nothing; of contradicting labels of one document the smallest counts. Repeated rows get equal scores. With no
+null labels teach nothing; of contradicting labels of one document the smallest counts. Repeated rows get equal scores. Very long texts and words are read whole. With no
 labelled row every score is 0.5; an empty table gives an empty result. Other columns are carried along, except a score
 column that is there already.
 """

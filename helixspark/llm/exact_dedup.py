@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bit_set, bitmap_of, bitmap_place, in_bitmap, scratch, staged, text_of
+from .common import bit_set, bitmap_of, bitmap_place, in_bitmap, scratch, staged, text_of, tidy
 
 #: Entries of a memtable, memtables of a flush at most (beyond that they grow), and runs that one compaction merges.
 MEMTABLE, MEMTABLES, FAN = 8192, 4096, 4
@@ -169,9 +169,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
     Repeated rows of the identifier that stays are told apart by a number within (identifier, digest).
     """
-    groups = exact_dedup(docs, id_col, text_col, keep, **options).filter("group_size > 1")
-    marks = groups.select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__key"), F.col("kept").alias("__kept"))
-    marks = staged(marks.groupBy("__id", "__key").agg(F.max("__kept").alias("__kept")), "dedup-marks")
+    with tidy(docs.sparkSession) as last:
+        groups = exact_dedup(docs, id_col, text_col, keep, **options).filter("group_size > 1")
+        marks = groups.select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__key"), F.col("kept").alias("__kept"))
+        marks = last(staged(marks.groupBy("__id", "__key").agg(F.max("__kept").alias("__kept")), "dedup-marks"))
     named = docs.withColumn("__key", F.unhex(F.sha2(text_of(text_col).cast("binary"), 256)))
     bitmap = bitmap_of(marks, "__key")
     single = in_bitmap(named, "__key", bitmap, inside=False)

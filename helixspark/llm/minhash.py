@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap_of, in_bitmap, release, ship, staged, text_of, without
+from .common import bitmap_of, in_bitmap, release, ship, staged, text_of, tidy, without
 from .components import components
 from .words import remembers, slices, turn_of
 
@@ -511,5 +511,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """docs with one document of each component: that of the smallest identifier. Rows without identifier stay."""
-    gone = staged(near_duplicates(docs, id_col, text_col, shingle, least).filter(~F.col("kept")).select(F.col(id_col).alias("id")).distinct(), "minhash-gone")
+    with tidy(docs.sparkSession) as keep:
+        gone = keep(staged(near_duplicates(docs, id_col, text_col, shingle, least).filter(~F.col("kept")).select(F.col(id_col).alias("id")).distinct(), "minhash-gone"))
     return without(docs, id_col, gone)

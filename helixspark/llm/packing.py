@@ -10,7 +10,7 @@ evolved again, the bins they were in among the first population, until one block
 themselves. Blocks depend on the written table of pieces, so a task that runs again gives the same packing.
 
 Defined results: null text is empty and is one piece of the end token alone. Null identifiers and repeated rows are pieces
-like others. Ties are broken by the pieces' row numbers. An empty table gives an empty result. Extra columns are ignored.
+like others. Very long texts are encoded whole and cut into pieces. Ties are broken by the pieces' row numbers. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, staged, text_of
+from .common import ship, staged, text_of, tidy
 from .words import remembers, slices, turn_of
 
 CAPACITY = 2048
 #: Pieces of a block, islands of a block, individuals of an island, epochs and children of an epoch.
-BLOCK, ISLANDS, POPULATION, EPOCHS, CHILDREN = 4096, 2, 8, 2, 60
+BLOCK, ISLANDS, POPULATION, EPOCHS, CHILDREN = 4096, 2, 6, 2, 48
 #: Tokens that may stay free in a bin that is not packed again.
 SLACK = 0
 _LEVELS = 8
@@ -159,7 +159,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         e = encoder(path)
         for batch in batches:
             at = 0
-            for part in slices(batch.column(1).to_pylist(), 4 << 20):
+            for part in slices(batch.column(1).to_pylist(), 8 << 20):
                 source, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, data in enumerate(e.encode(part), at):
                     data += last
@@ -335,7 +335,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Dat
     for level in range(_LEVELS):
         if not n:
             break
-        placed = staged(_level(items, n, level, capacity, block), "packing-level")
+        with tidy(pieces.sparkSession) as keep:
+            placed = keep(staged(_level(items, n, level, capacity, block), "packing-level"))
         last = n <= block or level == _LEVELS - 1
         left, quarter = placed.agg(F.count_if(F.col("room") > SLACK), F.percentile_approx("room", 0.75)).first()
         # Where most bins can't be full, only the pieces of the emptiest ones, a quarter of all, are packed again.
