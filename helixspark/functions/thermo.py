@@ -134,3 +134,22 @@ def end_energy(s: Column | str) -> Column:
 def three_prime_stable(s: Column | str) -> Column:
     s = dna._c(s)
     return dna.require(F.length(s) >= 6, end_energy(s) > -9.0, "oligo too short for its 3' stability")
+
+
+# -- units
+
+
+def celsius(kelvin: Column | str, p: Params = Params()) -> Column:
+    return dna._c(kelvin) - p.kelvin
+
+
+def kelvin(celsius: Column | str, p: Params = Params()) -> Column:
+    return dna._c(celsius) + p.kelvin
+
+
+#: Units of concentration, in moles a litre.
+MOLAR = {"mM": 1e3, "uM": 1e6, "nM": 1e9}
+
+
+def molar(x: Column | str, unit: str) -> Column:
+    return dna._c(x) / MOLAR[unit]

@@ -23,13 +23,24 @@ def _windows(templates: DataFrame, key: str, seq: str, p: Params) -> DataFrame:
     return windows.withColumn("oligo", dna.substr(seq, F.col("l"), F.col("n")))
 
 
-def candidates(templates: DataFrame, target: float, key: str = "id", seq: str = "seq", p: Params = Params()) -> DataFrame:
-    """key, l, n, oligo, tm, penalty of the windows that may do: near the target temperature, without CCCC."""
-    w = _windows(templates, key, seq, p).filter(~F.col("oligo").contains("CCCC")).withColumn("tm", thermo.melting("oligo", p, F.col("__sums")))
-    w = w.filter(F.abs(F.col("tm") - target) <= p.tm_max_difference)
-    middle, centre = F.length(seq) / 2, F.col("l") + F.col("n") / 2
-    score = F.abs(centre - middle) / p.position_penalty + F.when(F.right("oligo", F.lit(1)).isin("A", "T"), p.at_penalty).otherwise(0.0) + F.abs(F.col("tm") - target) / p.tm_penalty + F.abs(F.col("n") - p.target_length) / p.length_penalty
-    score = score + F.when(~thermo.three_prime_stable("oligo"), p.unstable_penalty).otherwise(0.0) + F.when(dna.has_polyrun("oligo", p.poly_length + 1), p.poly_penalty).otherwise(0.0)
+def candidates(templates: DataFrame, target: float | Column, key: str = "id", seq: str = "seq", p: Params = Params(), penalties: str | None = None) -> DataFrame:
+    """key, l, n, oligo, tm, penalty of the windows that may do: near the target temperature, without CCCC.
+
+    target: degrees, or a column of templates as F.col. penalties: a column with a number for each base, whose mean over the window is added.
+    """
+    by_row = penalties is not None or isinstance(target, Column)
+    target = target if isinstance(target, Column) else F.lit(target)
+    more = templates.select(key, seq, target.alias("__target"), (F.col(penalties) if penalties else F.lit(None).cast("array<double>")).alias("__own"))
+    w = _windows(templates.select(key, seq), key, seq, p).filter(~F.col("oligo").contains("CCCC")).withColumn("tm", thermo.melting("oligo", p, F.col("__sums")))
+    w = w.join(more.drop(seq), key) if by_row else w.withColumn("__target", target).withColumn("__own", F.lit(None).cast("array<double>"))
+    w = w.filter(F.abs(F.col("tm") - F.col("__target")) <= p.tm_max_difference)
+    position = F.abs(F.col("l") - F.floor(F.length(seq) / 2)) / p.position_penalty + F.when(F.right("oligo", F.lit(1)).isin("G", "C"), 0.0).otherwise(p.at_penalty)
+    score = position + F.abs(F.col("tm") - F.col("__target")) / p.tm_penalty + F.abs(F.col("n") - p.target_length) / p.length_penalty
+    stable = F.when(F.col("n") > 5, F.when(F.col("n") >= 6, thermo.three_prime_stable("oligo"))).otherwise(False)
+    score = score + F.when(~stable, p.unstable_penalty).otherwise(0.0) + F.when(dna.has_polyrun("oligo", p.poly_length + 1), p.poly_penalty).otherwise(0.0)
+    if penalties:
+        own = F.slice("__own", F.col("l") + 1, F.col("n"))
+        score = score + F.coalesce(F.aggregate(own, F.lit(0.0), lambda x, y: x + y) / F.col("n"), F.lit(0.0))
     return w.select(key, "l", "n", "oligo", "tm", score.alias("penalty"))
 
 
@@ -39,24 +50,62 @@ def best(found: DataFrame, key: str = "id") -> DataFrame:
     return found.groupBy(key).agg(top).select(key, "b.*")
 
 
-def grown(templates: DataFrame, target: float, key: str = "id", seq: str = "seq", p: Params = Params()) -> DataFrame:
-    """key, oligo, tm: from the template's start, the shortest oligo that reaches the target or the one before, which is nearer,
-    then moved to the nearest stable G or C at its end if that costs little. Null where none fits."""
-    n = F.length(seq)
-    # Prefixes of every length, as rows: a template has at most max_length of them.
-    rows = templates.select(key, seq, F.explode(F.sequence(F.lit(p.min_length), F.greatest(F.lit(p.min_length), F.least(F.lit(p.max_length), n)))).alias("n")).filter(F.col("n") <= n)
-    rows = rows.withColumn("oligo", F.substring(seq, F.lit(1), F.col("n"))).withColumn("tm", thermo.melting("oligo", p)).withColumn("stable", F.right("oligo", F.lit(1)).isin("G", "C") & thermo.three_prime_stable("oligo"))
-    per = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "oligo", "tm", "stable"))).alias("all"))
-    hit = F.get(F.filter("all", lambda x: x["tm"] >= target), F.lit(0))
-    prior = F.get(F.filter("all", lambda x: x["n"] == hit["n"] - 1), F.lit(0))
-    start = F.when(prior.isNotNull() & (F.abs(prior["tm"] - target) < F.abs(hit["tm"] - target)), prior).otherwise(hit)
-    per = per.withColumn("start", start)
-    gap = lambda x: F.abs(x["tm"] - F.col("start.tm"))
-    ahead = F.get(F.filter("all", lambda x: x["stable"] & (x["n"] >= F.col("start.n"))), F.lit(0))
-    behind = F.get(F.reverse(F.filter("all", lambda x: x["stable"] & (x["n"] < F.col("start.n")))), F.lit(0))
-    moved = F.when(ahead.isNull() | behind.isNotNull() & (gap(behind) <= gap(ahead)), behind).otherwise(ahead)
-    final = F.when(moved.isNotNull() & (gap(moved) <= p.at_penalty), moved).otherwise(F.col("start"))
-    return templates.select(key).join(per.withColumn("final", final), key, "left").select(key, F.col("final.oligo").alias("oligo"), F.col("final.tm").alias("tm"))
+def grown(templates: DataFrame, target: float | Column, key: str = "id", seq: str = "seq", p: Params = Params()) -> DataFrame:
+    """key, oligo, tm: grown from the template's start until the target is reached, or the template ends.
+
+    Of the last two lengths the nearer to the target counts, then the end is moved to the next stable G or C in the direction that
+    changes the temperature less, if that costs at most the penalty of an A or T. Where the target isn't reached within the
+    longest length, that length is taken. Templates of one base have none.
+    """
+    target = target if isinstance(target, Column) else F.lit(target)
+    size = F.length(seq)
+    rows = templates.select(key, seq, target.alias("__target"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(p.max_length), size)))).alias("n")).filter(size > 1)
+    rows = rows.withColumn("oligo", F.substring(F.upper(seq), F.lit(1), F.col("n"))).withColumn("tm", F.when(F.col("n") > 1, thermo.melting("oligo", p)))
+    rows = rows.withColumn("ok", F.when(F.col("n") >= 6, F.right("oligo", F.lit(1)).isin("G", "C") & thermo.three_prime_stable("oligo")).otherwise(False))
+    per = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "oligo", "tm", "ok"))).alias("all"), F.first("__target").alias("target"), F.max(size).alias("size"))
+    tm = lambda n: F.get("all", (F.col(n) - 1).cast("int"))["tm"]
+    first = lambda f: F.get(F.filter("all", f), F.lit(0))["n"]
+    counted = lambda n: F.when(F.col(n) >= p.min_length, tm(n)).otherwise(0.0)  # noqa: E731  # shorter ones count as cold
+    hit = first(lambda x: (x["n"] >= p.min_length) & (x["tm"] >= F.col("target")))
+    per = per.withColumn("stop", F.coalesce(hit, F.when(F.col("size") <= p.max_length, F.col("size"))).cast("int")).withColumn("prior", F.col("stop") - 1)
+    own = (F.col("stop") <= p.min_length) | (F.abs(counted("stop") - F.col("target")) < F.abs(counted("prior") - F.col("target")))
+    per = per.withColumn("t", F.when(own, F.col("stop")).otherwise(F.col("prior"))).withColumn("was", F.when(own, counted("stop")).otherwise(counted("prior")))
+    per = per.withColumn("ahead", F.coalesce(first(lambda x: x["ok"] & (x["n"] >= F.col("t"))), F.col("t")))
+    behind = F.array_max(F.transform(F.filter("all", lambda x: x["ok"] & (x["n"] <= F.col("t")) & ((x["n"] >= p.min_length) | (x["n"] == F.col("t")))), lambda x: x["n"]))
+    per = per.withColumn("behind", F.coalesce(behind, F.col("t")))
+    gap = lambda n: F.abs(tm(n) - F.col("was"))
+    per = per.withColumn("moved", F.when(gap("ahead") < gap("behind"), F.col("ahead")).otherwise(F.col("behind")))
+    near = gap("moved") <= p.at_penalty if p.at_penalty >= 1e-4 else F.lit(False)
+    per = per.withColumn("final", F.when(F.col("stop").isNull(), F.lit(p.max_length)).when(near, F.col("moved")).otherwise(F.col("t")))
+    per = per.withColumn("x", F.get("all", (F.col("final") - 1).cast("int")))
+    return templates.select(key).join(per.select(key, "x.oligo", "x.tm"), key, "left")
+
+
+def designed(tasks: DataFrame, key: str = "id", p: Params = Params(), compromise: bool = False) -> DataFrame:
+    """tasks: key, seq, align (LEFT, RIGHT, CENTERLEFT, CENTERRIGHT), strand (TOP, BOTTOM), offset, target, penalties (array of
+    doubles, or null). A row per task: key, oligo, tm, offset, note; oligo is null where there is no design.
+
+    Tasks of the bottom strand are those of the reverse complement with the other side's anchor, and their offsets count
+    backwards. What then is anchored at the right can't be designed, nor a bottom task at the centre's left; the note says so.
+    compromise: centred designs go down the ladder of limits.
+    """
+    bottom = F.col("strand") == "BOTTOM"
+    swapped = F.create_map(*(F.lit(x) for x in ("LEFT", "RIGHT", "RIGHT", "LEFT", "CENTERRIGHT", "CENTERLEFT")))
+    s = F.upper("seq")
+    t = tasks.select(
+        key, F.when(bottom, dna.revcomp(s)).otherwise(s).alias("seq"), F.when(bottom, F.try_element_at(swapped, F.col("align"))).otherwise(F.col("align")).alias("align"), bottom.alias("bottom"), "offset", F.col("target").cast("double").alias("target"),
+        F.when(bottom, F.reverse("penalties")).otherwise(F.col("penalties")).alias("penalties"),
+    )
+    left = grown(t.filter("align = 'LEFT'"), F.col("target"), key, "seq", p).select(key, "oligo", "tm", F.lit(0).alias("l"))
+    centre = t.filter("align = 'CENTERLEFT'")
+    if compromise:
+        found = compromised(centre, F.col("target"), key, "seq", p, "penalties")
+    else:
+        found = best(candidates(centre, F.col("target"), key, "seq", p, "penalties"), key)
+    every = left.unionByName(found.select(key, "oligo", "tm", "l"))
+    note = F.when(F.col("align").isNull() | ~F.col("align").isin("LEFT", "CENTERLEFT"), "this anchor can't be designed on this strand").when(F.col("oligo").isNull(), "no design within the limits").otherwise("")
+    at = F.when(F.col("bottom"), F.col("offset") - F.col("l")).otherwise(F.col("offset") + F.col("l"))
+    return t.join(every, key, "left").select(key, "oligo", "tm", at.cast("long").alias("offset"), note.alias("note"))
 
 
 def ladder(gc: str, p: Params) -> list[Params]:
@@ -79,16 +128,17 @@ def ladder(gc: str, p: Params) -> list[Params]:
     return steps
 
 
-def compromised(templates: DataFrame, target: float, key: str = "id", seq: str = "seq", p: Params = Params()) -> DataFrame:
+def compromised(templates: DataFrame, target: float | Column, key: str = "id", seq: str = "seq", p: Params = Params(), penalties: str | None = None) -> DataFrame:
     """The best candidate under the first step of the ladder that has any. All windows are scored once; steps are filters on them."""
     loose = replace(p, min_length=18, tm_max_difference=10.0, max_length=max(p.max_length, 30))
-    found = candidates(templates, target, key, seq, loose).join(templates.select(key, dna.gc(seq).alias("__gc")), key)
+    degrees = target if isinstance(target, Column) else F.lit(target)
+    found = candidates(templates, target, key, seq, loose, penalties).join(templates.select(key, dna.gc(seq).alias("__gc"), degrees.alias("__target")), key)
     regime = F.when(F.col("__gc") < 0.4, "low").when(F.col("__gc") > 0.6, "high").otherwise("medium")
     step: Column = F.lit(None).cast("int")
     for name in ("low", "medium", "high"):
         own: Column = F.lit(None).cast("int")
         for i, q in reversed(list(enumerate(ladder(name, p)))):
-            fits = (F.col("n") >= q.min_length) & (F.col("n") <= q.max_length) & (F.abs(F.col("tm") - target) <= q.tm_max_difference)
+            fits = (F.col("n") >= q.min_length) & (F.col("n") <= q.max_length) & (F.abs(F.col("tm") - F.col("__target")) <= q.tm_max_difference)
             own = F.when(fits, i).otherwise(own)
         step = F.when(regime == name, own).otherwise(step)
     ranked = found.withColumn("step", step).filter("step IS NOT NULL")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import stats, tables, thermo, vcf
 from .operators import alignment, variant_filter
 from .plans import oligo
-from .plans.synth import genome, sequences, sql_dna32, table, variants, with_
+from .plans.synth import features, genome, sequences, sql_dna32, table, variants, with_
 from .sources import formats
 
 QUERIES: dict = {}
@@ -213,12 +213,19 @@ def _sql_pairs(values: dict) -> str:
     return _sql_sum("seq", values).removeprefix("list_sum(")[:-1]
 
 
-_CAND = f"""{with_('seqs')}, p AS (SELECT id, seq, {_sql_pairs(tables.NN_H)} AS hs, {_sql_pairs(tables.NN_S)} AS es FROM seqs),
-    w AS (SELECT id, l, n, hs, es, substr(seq, l + 1, n) AS s FROM p, (SELECT unnest(range(45)) AS l) a, (SELECT unnest(range(20, 61)) AS n) b WHERE l + n <= length(seq)),
+_STABLE = f"{_sql_sum('right(s, 5)', tables.DELTA_G_END)} + CASE WHEN right(s, 1) IN ('G', 'C') THEN -1.96 ELSE -2.01 END > -9.0"
+
+
+def _sql_candidates(target: float, least: int, spread: float) -> str:
+    """f: the windows of all sequences, of 64 bases each, that may do."""
+    return f"""{with_('seqs')}, p AS (SELECT id, seq, {_sql_pairs(tables.NN_H)} AS hs, {_sql_pairs(tables.NN_S)} AS es FROM seqs),
+    w AS (SELECT id, l, n, hs, es, substr(seq, l + 1, n) AS s FROM p, (SELECT unnest(range({65 - least})) AS l) a, (SELECT unnest(range({least}, 61)) AS n) b WHERE l + n <= length(seq)),
     c AS (SELECT id, l, n, s, {_sql_windows(_sql_melting('s'))} AS tm FROM w WHERE NOT contains(s, 'CCCC')),
-    f AS (SELECT id, l, n, s AS oligo, tm, abs(l + n / 2.0 - 32) / 5.0 + CASE WHEN right(s, 1) IN ('A', 'T') THEN 3.0 ELSE 0 END + abs(tm - 60) + abs(n - 20) / 3.0
-        + CASE WHEN {_sql_sum('right(s, 5)', tables.DELTA_G_END)} + CASE WHEN right(s, 1) IN ('G', 'C') THEN -1.96 ELSE -2.01 END > -9.0 THEN 0 ELSE 5.0 END
-        + CASE WHEN {' OR '.join([f"contains(s, repeat('{a}', 5))" for a in 'ACGT'] + [f"contains(s, repeat('{a}{b}', 5))" for a in 'ACGT' for b in 'ACGT'])} THEN 10.0 ELSE 0 END AS penalty FROM c WHERE abs(tm - 60) <= 5)"""
+    f AS (SELECT id, l, n, s AS oligo, tm, abs(l - 32) / 5.0 + CASE WHEN right(s, 1) IN ('A', 'T') THEN 3.0 ELSE 0 END + abs(tm - {target}) + abs(n - 20) / 3.0 + CASE WHEN {_STABLE} THEN 0 ELSE 5.0 END
+        + CASE WHEN {' OR '.join([f"contains(s, repeat('{a}', 5))" for a in 'ACGT'] + [f"contains(s, repeat('{a}{b}', 5))" for a in 'ACGT' for b in 'ACGT'])} THEN 10.0 ELSE 0 END AS penalty FROM c WHERE abs(tm - {target}) <= {spread})"""
+
+
+_CAND = _sql_candidates(60, 20, 5)
 
 
 @register("primer_candidates", f"{_CAND} SELECT id, l, n, oligo, round(tm, 6) AS tm, round(CAST(penalty AS DOUBLE), 6) AS penalty FROM f")
@@ -232,16 +239,65 @@ def _(spark, sf):
     return oligo.best(oligo.candidates(sequences(spark, sf), 60.0)).select("id", "oligo")
 
 
-@register("oligo_left")
+_LEFT = f"""{with_('seqs')}, p AS (SELECT id, seq, unnest(range(20, 61)) AS n FROM seqs), e AS (SELECT id, n, substr(seq, 1, n) AS s FROM p),
+    v AS (SELECT id, n, s, {_sql_melting('s')} AS tm, right(s, 1) IN ('G', 'C') AND {_STABLE} AS ok FROM e),
+    h AS (SELECT id, min(n) FILTER (WHERE tm >= 60) AS stop FROM v GROUP BY id),
+    t AS (SELECT h.id, stop, x.tm AS this, coalesce(y.tm, 0) AS last, stop <= 20 OR abs(x.tm - 60) < abs(coalesce(y.tm, 0) - 60) AS own FROM h LEFT JOIN v AS x ON x.id = h.id AND x.n = stop LEFT JOIN v AS y ON y.id = h.id AND y.n = stop - 1),
+    u AS (SELECT id, stop, CASE WHEN own THEN stop ELSE stop - 1 END AS t, CASE WHEN own THEN this ELSE last END AS was FROM t),
+    m AS (SELECT u.id, any_value(u.stop) AS stop, any_value(t) AS t, any_value(was) AS was, coalesce(min(n) FILTER (WHERE ok AND n >= t), any_value(t)) AS ahead, coalesce(max(n) FILTER (WHERE ok AND n <= t), any_value(t)) AS behind FROM u JOIN v ON u.id = v.id GROUP BY u.id),
+    k AS (SELECT m.*, CASE WHEN abs(a.tm - was) < abs(b.tm - was) THEN ahead ELSE behind END AS moved, CASE WHEN abs(a.tm - was) < abs(b.tm - was) THEN a.tm ELSE b.tm END AS to_tm
+        FROM m LEFT JOIN v AS a ON a.id = m.id AND a.n = ahead LEFT JOIN v AS b ON b.id = m.id AND b.n = behind)
+    SELECT k.id, v.s AS oligo, round(v.tm, 6) AS tm FROM k JOIN v ON v.id = k.id AND v.n = CASE WHEN stop IS NULL THEN 60 WHEN abs(to_tm - was) <= 3 THEN moved ELSE t END"""
+
+
+@register("oligo_left", _LEFT)
 def _(spark, sf):
     return oligo.grown(sequences(spark, sf), 60.0).select("id", "oligo", F.round("tm", 6).alias("tm"))
 
 
-@register("oligo_compromise")
+def _sql_step() -> str:
+    """The first step of the ladder under which a window would do."""
+    steps = lambda gc: "CASE " + " ".join(f"WHEN n BETWEEN {q.min_length} AND {q.max_length} AND abs(tm - 68) <= {q.tm_max_difference} THEN {i}" for i, q in enumerate(oligo.ladder(gc, _P))) + " END"
+    return f"CASE WHEN gc < 0.4 THEN {steps('low')} WHEN gc > 0.6 THEN {steps('high')} ELSE {steps('medium')} END"
+
+
+@register("oligo_compromise", f"""{_sql_candidates(68, 18, 10)}, g AS (SELECT id, length(regexp_replace(seq, '[AT]', '', 'g')) / CAST(length(seq) AS DOUBLE) AS gc FROM seqs), s AS (SELECT f.*, {_sql_step()} AS step FROM f JOIN g USING (id))
+    SELECT id, step, oligo, round(tm, 6) AS tm FROM s WHERE step IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY step, round(CAST(penalty AS DOUBLE), 9), l, n) = 1""")
 def _(spark, sf):
     return oligo.compromised(sequences(spark, sf), 68.0).select("id", "step", "oligo", F.round("tm", 6).alias("tm"))
 
 
+@register("oligo_tasks")
+def _(spark, sf):
+    anchors, strands = F.array(*(F.lit(x) for x in ("LEFT", "CENTERLEFT", "RIGHT", "CENTERRIGHT"))), F.array(F.lit("TOP"), F.lit("BOTTOM"))
+    own = F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: F.pmod(i + F.col("id"), F.lit(7)).cast("double"))
+    tasks = sequences(spark, sf).select("id", "seq", F.get(anchors, F.pmod("id", F.lit(4)).cast("int")).alias("align"), F.get(strands, F.pmod(F.floor(F.col("id") / 4), F.lit(2)).cast("int")).alias("strand"), (F.col("id") * 10).alias("offset"), (58 + F.col("id") % 5).alias("target"), F.when(F.col("id") % 3 == 0, own).alias("penalties"))
+    return oligo.designed(tasks, compromise=True).select("id", "oligo", F.round("tm", 6).alias("tm"), "offset", "note")
+
+
+@register("unit_conversions", "SELECT p_partkey, round(p_retailprice - 273.15, 6) AS c, round(p_retailprice + 273.15, 6) AS k, round(p_retailprice / 1e3, 9) AS m_mm, round(p_retailprice / 1e6, 9) AS m_um, round(p_retailprice / 1e9, 12) AS m_nm FROM part")
+def _(spark, sf):
+    x = "p_retailprice"
+    return table(spark, sf, "part").select("p_partkey", F.round(thermo.celsius(x), 6).alias("c"), F.round(thermo.kelvin(x), 6).alias("k"), F.round(thermo.molar(x, "mM"), 9).alias("m_mm"), F.round(thermo.molar(x, "uM"), 9).alias("m_um"), F.round(thermo.molar(x, "nM"), 12).alias("m_nm"))
+
+
+@register("interval_order", f"{with_('features')}, x AS (SELECT id, chr * 10000000 + l AS al, chr * 10000000 + r AS ar, (chr + id % 3 - 1) * 10000000 + l + id % 1000 - 500 AS bl, (chr + id % 3 - 1) * 10000000 + r + id % 1000 - 500 AS br FROM features) SELECT id, CAST(CASE WHEN ar < bl THEN -1 WHEN al > br THEN 1 ELSE 0 END AS INT) AS side FROM x")
+def _(spark, sf):
+    from .plans import intervals
+
+    shift = F.col("id") % 1000 - 500
+    other = (F.col("chr") + F.col("id") % 3 - 1, F.col("l") + shift, F.col("r") + shift)
+    return features(spark, sf).select("id", intervals.compared(("chr", "l", "r"), other).alias("side"))
+
+
+@register("result_options", "SELECT c_custkey, c_acctbal >= 0 AS ok, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS value, CASE WHEN c_acctbal >= 0 THEN 0 ELSE 1 END AS n FROM customer")
+def _(spark, sf):
+    from .functions import result
+
+    r = result.of_optional(F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")), "no balance")
+    return table(spark, sf, "customer").select("c_custkey", r.alias("r")).select("c_custkey", F.col("r.ok").alias("ok"), F.col("r.value").alias("value"), F.size("r.messages").alias("n"))
+
+
 # -- statistics
 
 

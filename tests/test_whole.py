@@ -53,7 +53,7 @@ def windows(seq, target, least=20, spread=5.0):
                 continue
             end = s[-5:]
             stable = sum(tables.DELTA_G_END[end[i : i + 2]] for i in range(4)) + tables.INIT_G_END[s[-1]] > -9.0
-            penalty = abs(at + n / 2 - len(seq) / 2) / 5 + 3 * (s[-1] in "AT") + abs(tm - target) + abs(n - 20) / 3 + 5 * (not stable) + 10 * bool(re.search(r"(.)\1{4}|(..)\2{4}", s))
+            penalty = abs(at - len(seq) // 2) / 5 + 3 * (s[-1] in "AT") + abs(tm - target) + abs(n - 20) / 3 + 5 * (not stable) + 10 * bool(re.search(r"(.)\1{4}|(..)\2{4}", s))
             out[at, n, s] = tm, penalty
     return out
 
@@ -339,3 +339,81 @@ def test_long_queries_in_suffixes(spark):
 def test_queries_with_quoting_ends(spark):
     s, q = "a\\Eb\\E\\Ec", "\\E"
     assert spark.createDataFrame([(s, q)], "s string, q string").select(dna.indices_of("s", "q"), dna.count_of("s", "q")).first()[:] == ([1, 4, 6], 3)
+
+
+def grown(seq, target, p=thermo.Params()):
+    """(oligo, tm) from the template's start, step by step."""
+    stable = lambda s: sum(tables.DELTA_G_END[s[-5:][i : i + 2]] for i in range(4)) + tables.INIT_G_END[s[-1]] > -9.0
+    last, i = 0.0, 0
+    while True:
+        this = 0.0 if i < p.min_length - 1 else melting(seq[: i + 1])
+        if this < target and i < len(seq) - 1:
+            last, i = this, i + 1
+            continue
+        break
+    if i >= p.max_length:
+        return seq[: p.max_length], melting(seq[: p.max_length])
+    t, was = (i, this) if i < p.min_length or abs(this - target) < abs(last - target) else (i - 1, last)
+    ends = []
+    for step in (1, -1):
+        at = t
+        while not (seq[at] in "GC" and stable(seq[: at + 1])):
+            if not (at < len(seq) - 1 and at + 1 < p.max_length if step == 1 else at > 1 and at + 1 > p.min_length):
+                at = t
+                break
+            at += step
+        ends.append((at, melting(seq[: at + 1])))
+    ahead, behind = ends
+    at, tm = ahead if abs(ahead[1] - was) < abs(behind[1] - was) else behind
+    return (seq[: at + 1], tm) if abs(tm - was) <= p.at_penalty else (seq[: t + 1], melting(seq[: t + 1]))
+
+
+def test_oligo_tasks(spark):
+    """Anchors, strands, offsets and penalties by plain Python; short and long templates too."""
+    import random
+
+    rng = random.Random(2)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (22, 25, 30, 45, 61, 80)] + ["AT" * 40, "GC" * 12 + "A" * 30, "ACGTTGCAAG"]
+    tasks = [(len(seqs) * i + j, s, a, t, 100, 60.0, [float((7 * x + j) % 5) for x in range(len(s))] if j % 2 else None) for i, (a, t) in enumerate((x, y) for x in ("LEFT", "CENTERLEFT", "RIGHT", "CENTERRIGHT") for y in ("TOP", "BOTTOM")) for j, s in enumerate(seqs)]
+    df = spark.createDataFrame(tasks, "id int, seq string, align string, strand string, offset int, target double, penalties array<double>")
+    found = {r.id: r for r in oligo.designed(df).collect()}
+    assert len(found) == len(tasks)
+    for k, seq, align, strand, offset, target, own in tasks:
+        s, own, align = (seq, own, align) if strand == "TOP" else (other(seq), own and own[::-1], {"LEFT": "RIGHT", "RIGHT": "LEFT", "CENTERRIGHT": "CENTERLEFT"}.get(align))
+        r = found[k]
+        if align == "LEFT":
+            want = grown(s, target)
+            assert (r.oligo, r.tm, r.offset) == (want[0], pytest.approx(want[1], abs=1e-6), offset)
+        elif align == "CENTERLEFT":
+            ranked = sorted((round(p + (sum(own[at : at + n]) / n if own else 0), 9), at, n, o) for (at, n, o), (_, p) in windows(s, target).items())
+            assert (r.oligo, r.offset) == ((ranked[0][3], offset + ranked[0][1] * (1 if strand == "TOP" else -1)) if ranked else (None, None))
+            assert (r.note == "") == bool(ranked)
+        else:
+            assert r.oligo is None and "anchor" in r.note
+
+
+def test_results_of_options_and_exceptions(spark):
+    from helixspark.functions import result
+
+    df = spark.createDataFrame([(1, "4", None), (2, None, "gone"), (3, "x", None)], "id int, a string, b string")
+    number = lambda c: result.checked(c.try_cast("int"), [(c.try_cast("int").isNotNull(), "no number")])
+    got = df.select("id", result.of_choice("a", "b").alias("c"), result.optional("a", number).alias("o"), result.caught(lambda x: 8 // int(x), "a", "long", lambda e: type(e).__name__).alias("k")).orderBy("id").collect()
+    assert [tuple(r.c) for r in got] == [(True, "4", []), (False, None, ["gone"]), (True, "x", [])]
+    assert [tuple(r.o) for r in got] == [(True, 4, []), (True, None, []), (False, None, ["no number"])]
+    assert [tuple(r.k) for r in got] == [(True, 2, []), (False, None, ["TypeError"]), (False, None, ["ValueError"])]
+    try:
+        try:
+            int("x")
+        except ValueError as e:
+            raise KeyError("outer") from e
+    except KeyError as e:
+        text = result.exception_text(e, "while reading")
+    assert text.startswith("while reading\n\n'outer'\nType: builtins.KeyError") and "2) invalid literal" in text
+
+
+def test_renamed_chromosomes(spark):
+    from helixspark.plans import intervals
+
+    names = list(tables.chromosomes().items())[:3] + [("7", 7)]
+    df = spark.createDataFrame([(n, "ACGT") for n, _ in names], "chr string, seq string")
+    assert sorted(r.chr for r in intervals.renamed(df).collect()) == sorted(k for _, k in names)
