@@ -19,6 +19,7 @@ import functools
 import os
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ship, staged, text_of, tidy
-from .words import remembers, slices, turn_of
+from .words import remembers, turn_of
 
 CAPACITY = 2048
 #: Pieces of a block, islands of a block, individuals of an island, epochs and children of an epoch.
@@ -46,7 +47,7 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^A
 
 
 #: Words that a worker remembers, in two generations.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 
 
 class Encoder:
@@ -107,7 +108,8 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts whose words are encoded one by one. The distinct words are looked up, and the ids gathered by place."""
         split = pa.compute.ascii_split_whitespace(pa.compute.ascii_trim_whitespace(pa.array([x.lower() for x in texts], pa.large_string())))
-        found = split.values.dictionary_encode()
+        found, cuts = split.values.dictionary_encode(), split.offsets.to_numpy()
+        del split
         words, place = found.dictionary.to_pylist(), found.indices.to_numpy()
         if len(self.young) > REMEMBERED // 2:
             self.old, self.young = self.young, {}
@@ -123,7 +125,8 @@ class Encoder:
         at = np.repeat(start.take(place) - end + own, own)
         at += np.arange(len(at), dtype=np.int32)
         out = flat.take(at)
-        edges = np.r_[0, end][split.offsets.to_numpy()]
+        del at, own, flat, ids, found, place
+        edges = np.r_[0, end][cuts]
         for w in lost:
             if len(w) > 48:
                 self.young.pop(w, None)
@@ -146,6 +149,17 @@ def encoder(path: str) -> Encoder:
 remembers("packing", encoder.cache_clear)
 
 
+def _parts(texts: pa.Array, size: int = 8 << 20) -> Iterator[pa.Array]:
+    """Consecutive texts of about so many bytes together, each whole. What Arrow held for a part is given back after it."""
+    ends = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
+        yield texts.slice(start, stop - start)
+        pa.default_memory_pool().release_unused()
+        start = stop
+
+
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = 0, with_ids: bool = False) -> DataFrame:
     """id, piece, start, length, ids_crc32 (of the ids as little-endian unsigned 32 bits) of every piece, and its ids if wanted."""
     ship(docs.sparkSession)
@@ -159,7 +173,8 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         e = encoder(path)
         for batch in batches:
             at = 0
-            for part in slices(batch.column(1).to_pylist(), 8 << 20):
+            for texts in _parts(batch.column(1)):  # Python's texts of one part at a time
+                part = texts.to_pylist()
                 source, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, data in enumerate(e.encode(part), at):
                     data += last
