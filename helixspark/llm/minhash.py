@@ -186,7 +186,7 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
     schema = T.StructType([docs.schema["id"], *T._parse_datatype_string("n_shingles long, key binary, bands array<long>, sig binary").fields])
 
     def run(batches):
-        for batch in batches:
+        for batch in (x.slice(at, 1024) for x in batches for at in range(0, x.num_rows, 1024)):
             ids, at = batch.column(0), 0
             for part in slices(batch.column(1).to_pylist(), 1 << 19):
                 sets = shingle_sets(part, k)
@@ -259,8 +259,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, lea
     rows = _some(docs, "id", dealt, "rep_id").join(dealt, F.col("id").eqNullSafe(F.col("rep_id"))).select("a", "part", "role", "cid", "key", "text")
 
     def run(batches):
+        turn_of("minhash")
         hub, own = None, set()
-        for batch in batches:
+        for batch in (x.slice(at, 512) for x in batches for at in range(0, x.num_rows, 512)):  # Python's texts of a few rows at a time
             out_a, out_b = [], []
             for a, role, cid, key, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
                 if class_key(text) != key:

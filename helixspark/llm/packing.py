@@ -33,7 +33,7 @@ from .words import remembers, turn_of
 
 CAPACITY = 2048
 #: Pieces of a block, islands of a block, individuals of an island, epochs and children of an epoch.
-BLOCK, ISLANDS, POPULATION, EPOCHS, CHILDREN = 4096, 2, 6, 2, 48
+BLOCK, ISLANDS, POPULATION, EPOCHS, CHILDREN = 4096, 2, 6, 2, 36
 #: Tokens that may stay free in a bin that is not packed again.
 SLACK = 0
 _LEVELS = 8
@@ -47,7 +47,7 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^A
 
 
 #: Words that a worker remembers, in two generations.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 
 
 class Encoder:
@@ -107,7 +107,7 @@ class Encoder:
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts whose words are encoded one by one. The distinct words are looked up, and the ids gathered by place."""
-        split = pa.compute.ascii_split_whitespace(pa.compute.ascii_trim_whitespace(pa.array([x.lower() for x in texts], pa.large_string())))
+        split = pa.compute.ascii_split_whitespace(pa.compute.ascii_trim_whitespace(pa.array([x.lower() for x in texts], pa.string())))
         found, cuts = split.values.dictionary_encode(), split.offsets.to_numpy()
         del split
         words, place = found.dictionary.to_pylist(), found.indices.to_numpy()
@@ -149,7 +149,7 @@ def encoder(path: str) -> Encoder:
 remembers("packing", encoder.cache_clear)
 
 
-def _parts(texts: pa.Array, size: int = 8 << 20) -> Iterator[pa.Array]:
+def _parts(texts: pa.Array, size: int = 4 << 20) -> Iterator[pa.Array]:
     """Consecutive texts of about so many bytes together, each whole. What Arrow held for a part is given back after it."""
     ends = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
@@ -302,6 +302,7 @@ def _level(items: DataFrame, n: int, level: int, capacity: int, block_size: int)
     dealt = items.withColumn("block", F.pmod(F.xxhash64(by, F.lit(level)), F.lit(blocks))).withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
 
     def start(key, t):
+        turn_of("packing")
         block, island = key[0].as_py(), key[1].as_py()
         t = t.take(pa.compute.sort_indices(t["row"]))
         lengths = t["length"].to_numpy()

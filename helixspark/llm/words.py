@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space of str.split() beyond that of WORD.
 _MORE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -27,6 +31,16 @@ def turn_of(operator: str) -> None:
             if name != operator:
                 clear()
         _running[:] = [operator]
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which other workers of the machine need, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def words_of(text: str) -> list[str]:
