@@ -191,3 +191,9 @@ def test_stream_equals_batch(spark, tmp_path):
         q.awaitTermination(120)
     found = {(r.chr, r.pos): r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert found == batch
+
+
+def test_scar_found_in_two_ways():
+    """A repeat that begins with one base nine times meets itself less a base as well."""
+    r, m = "AAAAAAAAAATCAGTCGGACGAAGTCGTGG", "CGTTGCATGCAAGTCCTGACTTACGGATCTACGT"
+    assert alignment.scar(r + m + r, 20, 60) == (True, r, None)
