@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from ..functions import dna
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all tasks: rows that become many each, as sequences do, often come in one small file."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def exploded(df: DataFrame, seq: str, k: int, *keys: str) -> DataFrame:
     """keys, pos and the digits of the canonical k-mer there. K-mers with letters other than ACGT are left out."""
-    rows = df.select(*keys, F.explode(dna.kmers(seq, k)).alias("__k")).filter(F.col("__k.kmer").rlike("^[ACGT]+$"))
-    return rows.select(*keys, F.col("__k.pos").alias("pos"), dna.canonical_kmer(F.col("__k.kmer")).alias("kmer"))
+    # Digits of both strands are made once for a sequence, before it is dealt; its k-mers are pieces of them.
+    clean = F.col(seq).rlike("^[ACGT]*$").alias("__clean")
+    both = dealt(df.select(*keys, F.col(seq).alias("__seq"), dna.kmer_digits(seq).alias("__plus"), F.reverse(F.translate(seq, "CTAG", "0123")).alias("__minus"), clean), *keys)
+    found = F.transform(dna.positions(F.length("__seq") - k), lambda i: F.struct(i.alias("pos"), F.least(dna.substr("__plus", i, k), dna.substr("__minus", F.length("__minus") - k - i, k)).alias("kmer")))
+    found = F.when(F.col("__clean"), found).otherwise(F.filter(found, lambda x: dna.substr("__seq", x["pos"], k).rlike("^[ACGT]+$")))
+    return both.select(*keys, F.explode(found).alias("__k")).select(*keys, F.col("__k.pos").alias("pos"), F.col("__k.kmer").alias("kmer"))
 
 
 def kmer_index(df: DataFrame, seq: str, k: int) -> DataFrame:
@@ -20,10 +29,13 @@ def kmer_index(df: DataFrame, seq: str, k: int) -> DataFrame:
 
 
 def kmer_search(queries: DataFrame, key: str, seq: str, index: DataFrame, k: int) -> DataFrame:
-    """For each query the first offset whose canonical k-mer is indexed: key, result (ONCE, TWICE, NONE), pos (-1 for none)."""
-    hits = exploded(queries, seq, k, key).join(index.select("kmer", "state"), "kmer").groupBy(key).agg(F.min(F.struct("pos", "state")).alias("hit"))
+    """For each query the first offset whose canonical k-mer is indexed: key, result (ONCE, TWICE, NONE), pos (-1 for none).
+
+    Both sides have many rows for each of their input, which Spark's sizes don't show, so that neither may be broadcast.
+    """
+    hits = exploded(queries, seq, k, key).join(index.select("kmer", "state").hint("merge"), "kmer").groupBy(key).agg(F.min(F.struct("pos", "state")).alias("hit"))
     result = F.when(F.col("hit.state") == 1, "ONCE").when(F.col("hit.state") == 2, "TWICE").otherwise("NONE")
-    return queries.select(key).join(hits, key, "left").select(key, result.alias("result"), F.coalesce(F.col("hit.pos"), F.lit(-1)).cast("long").alias("pos"))
+    return queries.select(key).join(hits.hint("merge"), key, "left").select(key, result.alias("result"), F.coalesce(F.col("hit.pos"), F.lit(-1)).cast("long").alias("pos"))
 
 
 def save_index(index: DataFrame, path: str, files: int = 64) -> None:
