@@ -93,12 +93,109 @@ def align(a: str, b: str, k: int = 10, width: int = 24, scores: Scores = Scores(
     return True, "".join(row_a)[::-1], "".join(row_b)[::-1], int(value)
 
 
+#: Pairs of equal lengths and diagonals that are aligned in one step.
+LANES = 1024
+
+
+def align_all(a: list[str], b: list[str], k: int = 10, width: int = 24, scores: Scores = Scores()) -> list[tuple[bool, str, str, int]]:
+    """align() of each pair; pairs of the same lengths and diagonal go through the band together."""
+    out: list = [None] * len(a)
+    groups: dict[tuple[int, int, int], list[int]] = {}
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        shift = diagonal(x, y, k)
+        if shift is None:
+            out[i] = False, x, y, 0
+        else:
+            groups.setdefault((len(x), len(y), shift), []).append(i)
+    for (_, _, shift), own in groups.items():
+        for at in range(0, len(own), LANES):
+            part = own[at : at + LANES]
+            for i, row in zip(part, _lanes([a[i] for i in part], [b[i] for i in part], shift, width, scores), strict=True):
+                out[i] = row
+    return out
+
+
+def _points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(texts), -1)
+
+
+def _lanes(a: list[str], b: list[str], shift: int, width: int, scores: Scores) -> list[tuple[bool, str, str, int]]:
+    """align() of pairs of one pair of lengths and one diagonal, cell by cell over all of them."""
+    count, n, m, half, low = len(a), len(a[0]), len(b[0]), width // 2, -(10**9)
+    pa_, pb = _points(a), _points(b)
+    back = np.zeros((3, m + 1, width + 1, count), dtype=np.int8)
+    start = lambda y: y + shift - half
+    ends: dict[tuple[int, int, int], np.ndarray] = {}
+    prior = None
+    for y in range(m + 1):
+        now = np.full((3, width + 1, count), low, dtype=np.int64)
+        columns = [x for x in range(width + 1) if 0 <= start(y) + x <= n]
+        free = [x for x in columns if y == 0 or start(y) + x == 0]
+        inner = [x for x in columns if not (y == 0 or start(y) + x == 0)]
+        for x in free:
+            now[0, x] = 0
+            back[0, y, x] = 3
+        if inner:
+            c, d = inner[0], inner[-1] + 1
+            before = prior[:, c:d]
+            best = before.argmax(axis=0)
+            pair = pa_[:, start(y) + c - 1 : start(y) + d - 1].T == pb[:, y - 1]
+            now[0, c:d] = before.max(axis=0) + np.where(pair, scores.match, scores.mismatch)
+            back[0, y, c:d] = best
+            top = min(d, width)
+            if c < top:
+                up = prior[:, c + 1 : top + 1] + np.array([scores.open, scores.extend, scores.open])[:, None, None]
+                back[1, y, c:top] = up.argmax(axis=0)
+                now[1, c:top] = up.max(axis=0)
+            step = np.array([scores.open, scores.open, scores.extend])[:, None]
+            for x in range(max(c, 1), d):
+                left = now[:, x - 1] + step
+                back[2, y, x] = left.argmax(axis=0)
+                now[2, x] = left.max(axis=0)
+        for x in columns:
+            if y == m or start(y) + x == n:
+                for s in range(3):
+                    ends[s, y, x] = now[s, x].copy()
+        prior = now
+    places = sorted(ends, key=lambda e: (e[0], -e[1], -e[2]))
+    table = np.stack([ends[e] for e in places])
+    first = table.argmax(axis=0)
+    value = table.max(axis=0)
+    s, y, x = np.array(places)[first].T.copy()
+    i = start(y) + x
+    end_i, end_y = i.copy(), y.copy()
+    lane = np.arange(count)
+    gap = ord("-")
+    row_a, row_b = (np.full((count, n + m), gap, dtype=np.uint32) for _ in range(2))
+    length = np.zeros(count, dtype=np.int64)
+    while True:
+        going = ~((s == 0) & (back[0, y, x, lane] == 3))
+        if not going.any():
+            break
+        g = np.flatnonzero(going)
+        was = s[g]
+        s[g] = back[was, y[g], x[g], g]
+        y[g] -= was != 2
+        i[g] -= was != 1
+        x[g] += np.where(was == 1, 1, np.where(was == 2, -1, 0))
+        at = n + m - 1 - length[g]
+        row_a[g, at] = np.where(was != 1, pa_[g, np.minimum(i[g], n - 1)], gap)
+        row_b[g, at] = np.where(was != 2, pb[g, np.minimum(y[g], m - 1)], gap)
+        length[g] += 1
+    texts = lambda rows: [rows[j, n + m - length[j] :].tobytes().decode("utf-32-le", "surrogatepass") for j in range(count)]
+    out = []
+    for j, (mid_a, mid_b) in enumerate(zip(texts(row_a), texts(row_b), strict=True)):
+        p, q, u, v = int(i[j]), int(y[j]), int(end_i[j]), int(end_y[j])
+        out.append((True, "-" * q + a[j][:p] + mid_a + "-" * (m - v) + a[j][u:], b[j][:q] + "-" * p + mid_b + b[j][v:] + "-" * (n - u), int(value[j])))
+    return out
+
+
 def aligned(a: Column | str, b: Column | str, k: int = 10, width: int = 24, scores: Scores = Scores()) -> Column:
     """struct(aligned, a, b, score) of each pair of a row."""
 
     @F.pandas_udf("aligned boolean, a string, b string, score long")
     def f(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([align(p, q, k, width, scores) for p, q in zip(x, y, strict=True)], columns=["aligned", "a", "b", "score"])
+        return pd.DataFrame(align_all(list(x), list(y), k, width, scores), columns=["aligned", "a", "b", "score"])
 
     return f(_c(a), _c(b))
 
@@ -183,16 +280,18 @@ def scars(s: Column | str, least: int = 20, most: int = 1000) -> Column:
 def match_runs(genome: DataFrame, queries: DataFrame, cutoff: int, key: str = "chr", query_id: str = "query_id", seq: str = "seq", query: str = "query") -> DataFrame:
     """Maximal exact matches of at least cutoff bases, on both strands: query_id, key, fwd, q_l, t_l, n.
 
-    Words of cutoff bases meet in an equi-join; neighbouring hits on one diagonal are joined to runs.
+    Words of cutoff bases meet in an equi-join; neighbouring hits on one diagonal are joined to runs. Spark takes the words
+    for as small as the table they are cut from, so that neither side may be broadcast.
     """
     from pyspark.sql import Window
 
     from ..functions import dna
+    from ..plans.kmers import dealt
 
-    words = queries.select(query_id, F.explode(F.array(F.struct(F.lit(True).alias("fwd"), F.col(query).alias("s")), F.struct(F.lit(False).alias("fwd"), dna.revcomp(query).alias("s")))).alias("x"))
+    words = dealt(queries.select(query_id, query), query_id).select(query_id, F.explode(F.array(F.struct(F.lit(True).alias("fwd"), F.col(query).alias("s")), F.struct(F.lit(False).alias("fwd"), dna.revcomp(query).alias("s")))).alias("x"))
     words = words.select(query_id, F.col("x.fwd").alias("fwd"), F.explode(dna.kmers(F.col("x.s"), cutoff)).alias("k")).select(query_id, "fwd", F.col("k.pos").alias("q"), F.col("k.kmer").alias("w"))
-    places = genome.select(key, F.explode(dna.kmers(seq, cutoff)).alias("k")).select(key, F.col("k.pos").alias("t"), F.col("k.kmer").alias("w"))
-    hits = words.join(places, "w").select(query_id, key, "fwd", "q", (F.col("t") - F.col("q")).alias("d"))
+    places = dealt(genome.select(key, seq), key).select(key, F.explode(dna.kmers(seq, cutoff)).alias("k")).select(key, F.col("k.pos").alias("t"), F.col("k.kmer").alias("w"))
+    hits = words.join(places.hint("merge"), "w").select(query_id, key, "fwd", "q", (F.col("t") - F.col("q")).alias("d"))
     line = Window.partitionBy(query_id, key, "fwd", "d").orderBy("q")
     runs = hits.withColumn("run", F.col("q") - F.row_number().over(line))
     return runs.groupBy(query_id, key, "fwd", "d", "run").agg(F.min("q").alias("q_l"), (F.max("q") - F.min("q") + cutoff).alias("n")).select(query_id, key, "fwd", "q_l", (F.col("q_l") + F.col("d")).alias("t_l"), "n")
@@ -259,11 +358,11 @@ def evaluated(clusters: DataFrame, genome: DataFrame, queries: DataFrame, tolera
     stop = F.least(F.length(seq) - 1, F.col("inferred_r") + tolerance).cast("int")
     region = dna.substr(seq, start, stop - start + 1)
     region = F.when(F.col("fwd"), region).otherwise(dna.revcomp(region))
-    both = found.join(genome.select(key, seq), key).withColumn("__target", region).drop(seq).join(queries.select(query_id, query), query_id)
+    both = found.join(genome.select(key, seq).hint("merge"), key).withColumn("__target", region).drop(seq).join(queries.select(query_id, query).hint("merge"), query_id)
 
     @F.pandas_udf("score long, length long, query_row string, target_row string")
     def f(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        rows = [align(p, q, 20, 24, scores) for p, q in zip(x, y, strict=True)]
+        rows = align_all(list(x), list(y), 20, 24, scores)
         ends = [core(a, b) for _, a, b, _ in rows]
         return pd.DataFrame({"score": [r[3] for r in rows], "length": [r - l + 1 for l, r in ends], "query_row": [r[1] for r in rows], "target_row": [r[2] for r in rows]})
 
