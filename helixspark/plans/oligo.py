@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import dna, thermo
+from ..functions import dna
 from ..functions.thermo import Params
+from . import windows
+from .kmers import dealt
 
 
-def _windows(templates: DataFrame, key: str, seq: str, p: Params) -> DataFrame:
-    # A template has hundreds of windows, so templates of one small file are dealt out first.
-    # Sums over neighbours are made once for a template; each window takes a difference.
-    n = F.length(seq)
-    templates = templates.repartition(int(templates.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-    starts = templates.select(key, seq, thermo.neighbour_sums(seq).alias("__sums")).select(key, seq, "__sums", F.explode(dna.positions(n - p.min_length)).alias("l"))
-    lengths = F.sequence(F.lit(p.min_length), F.least(F.lit(p.max_length), n - F.col("l")))
-    windows = F.transform(lengths, lambda k: F.struct(k.alias("n"), thermo.sums_within(F.col("__sums"), F.col("l"), k).alias("sums")))
-    windows = starts.select(key, seq, "l", F.explode(windows).alias("__w")).select(key, seq, "l", F.col("__w.n").alias("n"), F.col("__w.sums").alias("__sums"))
-    return windows.withColumn("oligo", dna.substr(seq, F.col("l"), F.col("n")))
+_FOUND = "l int, n int, oligo string, tm double, penalty double"
+
+
+def _scored(templates: DataFrame, target: float | Column, key: str, seq: str, p: Params, penalties: str | None, more: str, pick: Callable) -> DataFrame:
+    """key, _FOUND and more columns of the windows that pick(block, rows, l, n, tm, penalty, target) takes: their places and the columns' values."""
+    target = target if isinstance(target, Column) else F.lit(target)
+    own = F.col(penalties).cast("array<double>") if penalties else F.lit(None).cast("array<double>")
+    rows = dealt(templates.select(key, F.col(seq).alias("__seq"), target.cast("double").alias("__target"), own.alias("__own")), key)
+    schema = T.StructType([templates.schema[key], *T._parse_datatype_string(_FOUND + more).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x.slice(at, 4096) for x in batches for at in range(0, x.num_rows, 4096)):
+            target, own = batch.column(2).to_numpy(zero_copy_only=False).astype(float), batch.column(3).to_pylist()
+            for place, block in windows.blocks(batch.column(1).to_pylist(), lambda n: len(windows.spans(n, p)[0])):
+                rows, l, n, tm, penalty = windows.chosen(block, target[place], [own[i] for i in place], p)
+                took, values = pick(block, rows, l, n, tm, penalty, target[place])
+                rows, l, n = rows[took], l[took], n[took]
+                bases = windows.texts_of(block, rows, l, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place[rows])), pa.array(l, pa.int32()), pa.array(n, pa.int32()), bases, pa.array(tm[took]), pa.array(penalty[took]), *values], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def candidates(templates: DataFrame, target: float | Column, key: str = "id", seq: str = "seq", p: Params = Params(), penalties: str | None = None) -> DataFrame:
@@ -28,20 +45,13 @@ def candidates(templates: DataFrame, target: float | Column, key: str = "id", se
 
     target: degrees, or a column of templates as F.col. penalties: a column with a number for each base, whose mean over the window is added.
     """
-    by_row = penalties is not None or isinstance(target, Column)
-    target = target if isinstance(target, Column) else F.lit(target)
-    more = templates.select(key, seq, target.alias("__target"), (F.col(penalties) if penalties else F.lit(None).cast("array<double>")).alias("__own"))
-    w = _windows(templates.select(key, seq), key, seq, p).filter(~F.col("oligo").contains("CCCC")).withColumn("tm", thermo.melting("oligo", p, F.col("__sums")))
-    w = w.join(more.drop(seq), key) if by_row else w.withColumn("__target", target).withColumn("__own", F.lit(None).cast("array<double>"))
-    w = w.filter(F.abs(F.col("tm") - F.col("__target")) <= p.tm_max_difference)
-    position = F.abs(F.col("l") - F.floor(F.length(seq) / 2)) / p.position_penalty + F.when(F.right("oligo", F.lit(1)).isin("G", "C"), 0.0).otherwise(p.at_penalty)
-    score = position + F.abs(F.col("tm") - F.col("__target")) / p.tm_penalty + F.abs(F.col("n") - p.target_length) / p.length_penalty
-    stable = F.when(F.col("n") > 5, F.when(F.col("n") >= 6, thermo.three_prime_stable("oligo"))).otherwise(False)
-    score = score + F.when(~stable, p.unstable_penalty).otherwise(0.0) + F.when(dna.has_polyrun("oligo", p.poly_length + 1), p.poly_penalty).otherwise(0.0)
-    if penalties:
-        own = F.slice("__own", F.col("l") + 1, F.col("n"))
-        score = score + F.coalesce(F.aggregate(own, F.lit(0.0), lambda x, y: x + y) / F.col("n"), F.lit(0.0))
-    return w.select(key, "l", "n", "oligo", "tm", score.alias("penalty"))
+    return _scored(templates, target, key, seq, p, penalties, "", lambda block, rows, *_: (slice(None), []))
+
+
+def best_candidates(templates: DataFrame, target: float | Column, key: str = "id", seq: str = "seq", p: Params = Params(), penalties: str | None = None) -> DataFrame:
+    """best() of all candidates(): each template's windows are compared where they are made."""
+    pick = lambda block, rows, l, n, tm, penalty, target: (windows.first_of(rows, np.round(penalty, 9), l, n), [])
+    return best(_scored(templates, target, key, seq, p, penalties, "", pick), key)
 
 
 def best(found: DataFrame, key: str = "id") -> DataFrame:
@@ -58,27 +68,22 @@ def grown(templates: DataFrame, target: float | Column, key: str = "id", seq: st
     longest length, that length is taken. Templates of one base have none.
     """
     target = target if isinstance(target, Column) else F.lit(target)
-    size = F.length(seq)
-    rows = templates.select(key, seq, target.alias("__target"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(p.max_length), size)))).alias("n")).filter(size > 1)
-    rows = rows.withColumn("oligo", F.substring(F.upper(seq), F.lit(1), F.col("n"))).withColumn("tm", F.when(F.col("n") > 1, thermo.melting("oligo", p)))
-    rows = rows.withColumn("ok", F.when(F.col("n") >= 6, F.right("oligo", F.lit(1)).isin("G", "C") & thermo.three_prime_stable("oligo")).otherwise(False))
-    per = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "oligo", "tm", "ok"))).alias("all"), F.first("__target").alias("target"), F.max(size).alias("size"))
-    tm = lambda n: F.get("all", (F.col(n) - 1).cast("int"))["tm"]
-    first = lambda f: F.get(F.filter("all", f), F.lit(0))["n"]
-    counted = lambda n: F.when(F.col(n) >= p.min_length, tm(n)).otherwise(0.0)  # noqa: E731  # shorter ones count as cold
-    hit = first(lambda x: (x["n"] >= p.min_length) & (x["tm"] >= F.col("target")))
-    per = per.withColumn("stop", F.coalesce(hit, F.when(F.col("size") <= p.max_length, F.col("size"))).cast("int")).withColumn("prior", F.col("stop") - 1)
-    own = (F.col("stop") <= p.min_length) | (F.abs(counted("stop") - F.col("target")) < F.abs(counted("prior") - F.col("target")))
-    per = per.withColumn("t", F.when(own, F.col("stop")).otherwise(F.col("prior"))).withColumn("was", F.when(own, counted("stop")).otherwise(counted("prior")))
-    per = per.withColumn("ahead", F.coalesce(first(lambda x: x["ok"] & (x["n"] >= F.col("t"))), F.col("t")))
-    behind = F.array_max(F.transform(F.filter("all", lambda x: x["ok"] & (x["n"] <= F.col("t")) & ((x["n"] >= p.min_length) | (x["n"] == F.col("t")))), lambda x: x["n"]))
-    per = per.withColumn("behind", F.coalesce(behind, F.col("t")))
-    gap = lambda n: F.abs(tm(n) - F.col("was"))
-    per = per.withColumn("moved", F.when(gap("ahead") < gap("behind"), F.col("ahead")).otherwise(F.col("behind")))
-    near = gap("moved") <= p.at_penalty if p.at_penalty >= 1e-4 else F.lit(False)
-    per = per.withColumn("final", F.when(F.col("stop").isNull(), F.lit(p.max_length)).when(near, F.col("moved")).otherwise(F.col("t")))
-    per = per.withColumn("x", F.get("all", (F.col("final") - 1).cast("int")))
-    return templates.select(key).join(per.select(key, "x.oligo", "x.tm"), key, "left")
+    rows = dealt(templates.select(key, F.upper(seq).alias("__seq"), target.cast("double").alias("__target")), key)
+    schema = T.StructType([templates.schema[key], *T._parse_datatype_string("oligo string, tm double").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x.slice(at, 4096) for x in batches for at in range(0, x.num_rows, 4096)):
+            texts, target = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            oligos, degrees = [None] * len(texts), np.full(len(texts), np.nan)
+            for place, block in windows.blocks(texts, lambda n: min(n, p.max_length)):
+                if block.size > 1:
+                    n, tm = windows.grown(block, target[place], p)
+                    degrees[place] = tm
+                    for i, size in zip(place, n, strict=True):
+                        oligos[i] = texts[i][:size]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(oligos, pa.string()), pa.array(degrees, mask=np.isnan(degrees))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def designed(tasks: DataFrame, key: str = "id", p: Params = Params(), compromise: bool = False) -> DataFrame:
@@ -101,7 +106,7 @@ def designed(tasks: DataFrame, key: str = "id", p: Params = Params(), compromise
     if compromise:
         found = compromised(centre, F.col("target"), key, "seq", p, "penalties")
     else:
-        found = best(candidates(centre, F.col("target"), key, "seq", p, "penalties"), key)
+        found = best_candidates(centre, F.col("target"), key, "seq", p, "penalties")
     every = left.unionByName(found.select(key, "oligo", "tm", "l"))
     note = F.when(F.col("align").isNull() | ~F.col("align").isin("LEFT", "CENTERLEFT"), "this anchor can't be designed on this strand").when(F.col("oligo").isNull(), "no design within the limits").otherwise("")
     at = F.when(F.col("bottom"), F.col("offset") - F.col("l")).otherwise(F.col("offset") + F.col("l"))
@@ -129,18 +134,22 @@ def ladder(gc: str, p: Params) -> list[Params]:
 
 
 def compromised(templates: DataFrame, target: float | Column, key: str = "id", seq: str = "seq", p: Params = Params(), penalties: str | None = None) -> DataFrame:
-    """The best candidate under the first step of the ladder that has any. All windows are scored once; steps are filters on them."""
+    """The best candidate under the first step of the ladder that has any. All windows are scored once where they are made; steps are filters on them."""
     loose = replace(p, min_length=18, tm_max_difference=10.0, max_length=max(p.max_length, 30))
-    degrees = target if isinstance(target, Column) else F.lit(target)
-    found = candidates(templates, target, key, seq, loose, penalties).join(templates.select(key, dna.gc(seq).alias("__gc"), degrees.alias("__target")), key)
-    regime = F.when(F.col("__gc") < 0.4, "low").when(F.col("__gc") > 0.6, "high").otherwise("medium")
-    step: Column = F.lit(None).cast("int")
-    for name in ("low", "medium", "high"):
-        own: Column = F.lit(None).cast("int")
-        for i, q in reversed(list(enumerate(ladder(name, p)))):
-            fits = (F.col("n") >= q.min_length) & (F.col("n") <= q.max_length) & (F.abs(F.col("tm") - F.col("__target")) <= q.tm_max_difference)
-            own = F.when(fits, i).otherwise(own)
-        step = F.when(regime == name, own).otherwise(step)
-    ranked = found.withColumn("step", step).filter("step IS NOT NULL")
-    first = F.row_number().over(Window.partitionBy(key).orderBy("step", F.round("penalty", 9), "l", "n"))
-    return ranked.withColumn("__rank", first).filter("__rank = 1").select(key, "step", "l", "n", "oligo", "tm", "penalty")
+    steps = [ladder(gc, p) for gc in ("low", "medium", "high")]
+
+    def pick(block: windows.Block, rows, l, n, tm, penalty, target):
+        gc = np.isin(block.points, [ord(c) for c in "GCgc"]).sum(axis=1) / block.size
+        regime = np.where(gc < 0.4, 0, np.where(gc > 0.6, 2, 1))[rows]
+        step = np.full(len(rows), -1)
+        for i, own in enumerate(steps):
+            for j, q in reversed(list(enumerate(own))):
+                step[(regime == i) & (n >= q.min_length) & (n <= q.max_length) & (np.abs(tm - target[rows]) <= q.tm_max_difference)] = j
+        some = np.flatnonzero(step >= 0)
+        took = some[windows.first_of(rows[some], step[some], np.round(penalty[some], 9), l[some], n[some])]
+        return took, [pa.array(step[took], pa.int32())]
+
+    found = _scored(templates, target, key, seq, loose, penalties, ", step int", pick)
+    # Repeated keys have a row each until here.
+    top = F.min(F.struct("step", F.round("penalty", 9).alias("__penalty"), "l", "n", "oligo", "tm", "penalty")).alias("b")
+    return found.groupBy(key).agg(top).select(key, "b.step", "b.l", "b.n", "b.oligo", "b.tm", "b.penalty")

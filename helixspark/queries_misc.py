@@ -236,7 +236,7 @@ def _(spark, sf):
 
 @register("primer_best", f"{_CAND} SELECT id, oligo FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(CAST(penalty AS DOUBLE), 9), l, n) = 1")
 def _(spark, sf):
-    return oligo.best(oligo.candidates(sequences(spark, sf), 60.0)).select("id", "oligo")
+    return oligo.best_candidates(sequences(spark, sf), 60.0).select("id", "oligo")
 
 
 _LEFT = f"""{with_('seqs')}, p AS (SELECT id, seq, unnest(range(20, 61)) AS n FROM seqs), e AS (SELECT id, n, substr(seq, 1, n) AS s FROM p),
@@ -526,7 +526,7 @@ _CLUSTERS = f"""{_MATCHES}, o AS (SELECT *, t_l - q_l AS d, CASE WHEN fwd THEN q
 def _clusters(spark, sf):
     g, q = _queries(spark, sf)
     found = alignment.match_runs(g, q, 20).select("query_id", "chr", "fwd", *(F.col(c).cast("long").alias(c) for c in ("q_l", "t_l", "n")))
-    return g, q, alignment.group_matches(found.join(q.select("query_id", F.length("query").alias("query_length")), "query_id"), 15).drop("query_length")
+    return g, q, alignment.group_matches(found.join(q.select("query_id", F.length("query").alias("query_length")).hint("merge"), "query_id"), 15).drop("query_length")
 
 
 @register("group_matches", _CLUSTERS)
