@@ -6,22 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from .kmers import dealt
 
 
 def seeds(genome: DataFrame, key: str, seq: str, k: int) -> DataFrame:
     """key, pos, kmer: all k-mers of the plus strand."""
-    return genome.select(key, F.explode(dna.kmers(seq, k)).alias("__k")).select(key, F.col("__k.pos").alias("pos"), F.col("__k.kmer").alias("kmer"))
+    return dealt(genome.select(key, seq), key).select(key, F.explode(dna.kmers(seq, k)).alias("__k")).select(key, F.col("__k.pos").alias("pos"), F.col("__k.kmer").alias("kmer"))
 
 
 #: Lengths of seeds, the longest that fits is taken.
-SEEDS = (12, 6, 3, 1)
+SEEDS = (16, 12, 6, 3, 1)
 
 
 def primer_hits(genome: DataFrame, primers: DataFrame, key: str = "chr", seq: str = "seq", primer_id: str = "primer_id", primer: str = "primer", k: int = SEEDS[0]) -> DataFrame:
     """primer_id, key, pos (leftmost base on the plus strand), fwd of every exact hit on both strands.
 
     A primer is cut into seeds, the last of which ends with it. Seeds meet the genome's k-mers in an equi-join, and a primer hits where
-    all its seeds do; no primer is held against every chromosome, and no chromosome goes along with a hit. Primers shorter
+    all its seeds do; no primer is held against every chromosome, and no chromosome goes along with a hit. Neither side may be
+    broadcast, as Spark takes them for as small as what they are cut from. Primers shorter
     than k have shorter seeds; empty ones hit nothing.
     """
     both = primers.select(primer_id, F.explode(F.array(F.struct(F.lit(True).alias("fwd"), F.col(primer).alias("s")), F.struct(F.lit(False).alias("fwd"), dna.revcomp(primer).alias("s")))).alias("x"))
@@ -35,7 +37,7 @@ def primer_hits(genome: DataFrame, primers: DataFrame, key: str = "chr", seq: st
         own = both.filter(F.col("__k") == n)
         starts = F.array_union(F.sequence(F.lit(0), F.length("s") - n, F.lit(n)), F.array(F.length("s") - n))
         cut = own.select(primer_id, "fwd", F.size(starts).alias("__seeds"), F.explode(starts).alias("__at"), "s").withColumn("kmer", F.substring("s", F.col("__at") + 1, F.lit(n))).drop("s")
-        hits = seeds(genome, key, seq, n).join(cut, "kmer").groupBy(primer_id, key, "fwd", (F.col("pos") - F.col("__at")).alias("pos"), "__seeds").agg(F.count(F.lit(1)).alias("__n"))
+        hits = seeds(genome, key, seq, n).join(cut.hint("merge"), "kmer").groupBy(primer_id, key, "fwd", (F.col("pos") - F.col("__at")).alias("pos"), "__seeds").agg(F.count(F.lit(1)).alias("__n"))
         hits = hits.filter("__n = __seeds").select(primer_id, key, "pos", "fwd")
         found = hits if found is None else found.unionByName(hits)
     return found if found is not None else genome.select(key).join(primers.select(primer_id), F.lit(False)).select(primer_id, key, F.lit(0).alias("pos"), F.lit(True).alias("fwd"))
@@ -47,15 +49,17 @@ def products(genome: DataFrame, pairs: DataFrame, longest: int = 10_000, key: st
     The nearest reverse site behind each forward hit counts, found in one pass over a pair's hits in the order of their places.
     Mirrored products of equal primers count once.
     """
-    a = primer_hits(genome, pairs.select("pair_id", "fwd_primer"), key, seq, "pair_id", "fwd_primer", k)
-    b = primer_hits(genome, pairs.select("pair_id", "rev_primer"), key, seq, "pair_id", "rev_primer", k)
-    a = a.join(pairs.select("pair_id", F.length("fwd_primer").alias("n")), "pair_id").select("pair_id", key, "pos", "fwd", "n", F.lit(1).alias("kind"))
-    b = b.join(pairs.select("pair_id", F.length("rev_primer").alias("n")), "pair_id").select("pair_id", key, "pos", (~F.col("fwd")).alias("fwd"), "n", F.lit(0).alias("kind"))
+    # Primers of both kinds meet the genome's seeds at once.
+    kinds = F.array(*(F.struct(F.struct("pair_id", F.length(c).alias("n"), F.lit(kind).alias("kind")).alias("__id"), F.col(c).alias("primer")) for kind, c in ((1, "fwd_primer"), (0, "rev_primer"))))
+    asked = pairs.filter("pair_id IS NOT NULL").select(F.explode(kinds).alias("x")).select("x.__id", "x.primer")
+    hits = primer_hits(genome, asked, key, seq, "__id", "primer", k)
+    fwd = F.col("fwd") == (F.col("__id.kind") == 1)
+    hits = hits.select("__id.pair_id", key, "pos", fwd.alias("fwd"), "__id.n", "__id.kind")
     end = F.col("pos") + F.col("n")
     x = F.when(F.col("fwd"), -F.when(F.col("kind") == 1, end).otherwise(F.col("pos"))).otherwise(F.when(F.col("kind") == 1, F.col("pos")).otherwise(end))
     seen = Window.partitionBy("pair_id", key, "fwd").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0)
     site = F.last(F.when(F.col("kind") == 0, F.struct("pos", "n")), ignorenulls=True).over(seen)
-    met = a.unionByName(b).withColumn("x", x).withColumn("b", site).filter("kind = 1 AND b IS NOT NULL")
+    met = hits.withColumn("x", x).withColumn("b", site).filter("kind = 1 AND b IS NOT NULL")
     left, right = F.when(F.col("fwd"), F.col("pos")).otherwise(F.col("b.pos")), F.when(F.col("fwd"), F.col("b.pos") + F.col("b.n") - 1).otherwise(F.col("pos") + F.col("n") - 1)
     found = met.select("pair_id", key, "fwd", left.alias("l"), right.alias("r")).withColumn("n", F.col("r") - F.col("l") + 1).filter(F.col("n") <= longest)
     return found.groupBy("pair_id", key, "l", "r", "n").agg(F.bool_or("fwd").alias("fwd"))
@@ -64,7 +68,7 @@ def products(genome: DataFrame, pairs: DataFrame, longest: int = 10_000, key: st
 def product_bases(found: DataFrame, genome: DataFrame, key: str = "chr", seq: str = "seq") -> DataFrame:
     """found with product: the bases of each product, as the forward primer reads them."""
     bases = dna.substr(seq, F.col("l"), F.col("n"))
-    return found.join(genome.select(key, seq), key).withColumn("product", F.when(F.col("fwd"), bases).otherwise(dna.revcomp(bases))).drop(seq)
+    return found.join(genome.select(key, seq).hint("merge"), key).withColumn("product", F.when(F.col("fwd"), bases).otherwise(dna.revcomp(bases))).drop(seq)
 
 
 def unique_product(found: DataFrame, key: str = "chr", slack: int = 10) -> DataFrame:

@@ -133,7 +133,7 @@ def _pairs(spark, sf):
     g = genome(spark, sf)
     at = (F.col("primer_id") % 400).cast("int")
     a, b = dna.substr("seq", at, 18), dna.revcomp(dna.substr("seq", at + 120, 18))
-    return p.join(g, "chr").select(F.col("primer_id").alias("pair_id"), F.when(F.col("primer_id") % 2 == 0, a).otherwise(b).alias("fwd_primer"), F.when(F.col("primer_id") % 2 == 0, b).otherwise(a).alias("rev_primer"))
+    return p.join(g.hint("merge"), "chr").select(F.col("primer_id").alias("pair_id"), F.when(F.col("primer_id") % 2 == 0, a).otherwise(b).alias("fwd_primer"), F.when(F.col("primer_id") % 2 == 0, b).otherwise(a).alias("rev_primer"))
 
 
 _PAIRS = f"""{with_('genome', 'primers')}, w AS (SELECT primer_id, substr(seq, CAST(primer_id % 400 + 1 AS BIGINT), 18) AS a, {sql_revcomp('substr(seq, CAST(primer_id % 400 + 121 AS BIGINT), 18)')} AS b FROM primers JOIN genome USING (chr)),
