@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, text_of
-from .words import remembers, slices, turn_of, words_of
+from .words import give_back, remembers, slices, turn_of, words_of
 
 LETTERS, SHAPES, DIM, REACH = 1 << 14, 1 << 11, 32, 2
 CLASSES = LETTERS + SHAPES
@@ -266,7 +266,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = found.sort_values("id")
     x, y = np.stack(found["x"].to_numpy()), found["y"].to_numpy()
     check = np.array([_hash(f"check {i}") % 5 == 0 for i in found["id"]])
-    return Classifier(vectors, fit(x, y, check))
+    model = Classifier(vectors, fit(x, y, check))
+    del found, x
+    shared.unpersist()
+    give_back()  # the driver has little beside its heap
+    return model
 
 
 def scored(docs: DataFrame, model: Classifier, text_col: str = "text", score_col: str = "score") -> DataFrame:

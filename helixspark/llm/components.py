@@ -28,8 +28,9 @@ def components(links: DataFrame) -> DataFrame:
         there = labels.join(hot, F.col("v") == F.col("hot"), "left").select(F.col("v").alias("b"), "comp", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")).alias("part"))
         around = edges.join(there, ["b", "part"]).groupBy(F.col("a").alias("v")).agg(F.min("comp").alias("near"))
         lower = labels.join(around, "v").select("v", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
-        # A vertex takes the label of its label; labels that are their own are no news and stay out of the join.
-        jump = labels.filter("comp < v").select(F.col("v").alias("comp"), F.col("comp").alias("beyond"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        # A vertex takes the label of its label. Labels that are their own are no news, and what labels no other vertex isn't asked for; both stay out of the join.
+        moved = labels.filter("comp < v").select(F.col("v").alias("comp"), F.col("comp").alias("beyond"))
+        jump = moved.join(labels.select("comp").distinct(), "comp").select("comp", "beyond", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         lower = lower.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
         step = staged(lower.join(jump, ["comp", "salt"], "left").select("v", F.least("comp", "beyond").alias("comp"), "was"), "components-step")
         release(labels)

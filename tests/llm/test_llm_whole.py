@@ -86,3 +86,25 @@ def test_query_flushes_and_compacts(spark, monkeypatch):
     assert made == [30, 8, 2, 1]
     hot = got[got.keep_id == 2997]
     assert len(hot) == 1000 and (hot.group_size == 1000).all() and hot.kept.sum() == 1 and got.groupby("text_sha256").kept.sum().eq(1).all()
+
+
+def test_labels_that_nothing_has_are_not_salted(spark):
+    """A long chain and a star: components stay right, and only labels that some vertex has are copied for the jump."""
+    from helixspark.llm import components as c
+
+    made, staged = [], c.staged
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)], "a long, b long")
+
+    def watched(df, name):
+        out = staged(df, name)
+        if name == "components-step":
+            made.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    c.staged = watched
+    try:
+        found = {r.v: r.comp for r in c.components(links).collect()}
+    finally:
+        c.staged = staged
+    assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
+    assert made and all("Aggregate [comp" in x for x in made)
