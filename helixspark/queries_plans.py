@@ -39,7 +39,7 @@ def _(spark, sf):
 
 @register("feature_find", f"{_NEAR} SELECT point_id, id AS feature_id FROM found")
 def _(spark, sf):
-    return intervals.find_features(points(spark, sf), features(spark, sf)).select("point_id", F.col("id").alias("feature_id"))
+    return intervals.find_features(points(spark, sf), features(spark, sf).select("id", "chr", "l", "r")).select("point_id", F.col("id").alias("feature_id"))
 
 
 @register("nearest_gene", f"{_NEAR} SELECT point_id, id AS feature_id, {_REL} AS rel FROM found QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY type = 'ORF' DESC, length(description) DESC, id) = 1")

@@ -54,3 +54,44 @@ def test_nearest_gene_of_crowded_points(spark):
     found = {r.point_id: (r.feature_id, r.rel) for r in intervals.nearest_gene(ps, fs).collect()}
     assert {k: found[k] for k in covered} == {k: (-v[2], v[3]) for k, v in want.items()}
     assert "Join" not in plan(intervals._best_inside(ps, fs, "point_id"))
+
+
+def crowd(spark, seed):
+    """Features and points, many of which share their places, some features ending before they begin; the same as frames."""
+    rng = random.Random(seed)
+    places = [(rng.randint(0, 2), l := rng.randint(-40, 20_000), l + rng.choice((-9, -1, 0, 30, 300)), rng.random() < 0.5) for _ in range(60)]
+    features = [(i // 2, *rng.choice(places), rng.choice(("ORF", "CDS")), rng.choice(("a", "bb", None))) for i in range(400)]
+    spots = [(rng.randint(0, 3), rng.choice((rng.randint(-600, 30_000), rng.choice(places)[1] + rng.randint(-3, 3)))) for _ in range(80)]
+    points = [(i // 3 if i < 60 else i, *rng.choice(spots)) for i in range(400)]
+    fs = spark.createDataFrame(features, "id long, chr long, l long, r long, fwd boolean, type string, description string")
+    return features, points, fs, spark.createDataFrame(points, "point_id long, chr long, pos long")
+
+
+def found_by_sql(features, points):
+    """Pairs as the SQL of the queries has them."""
+    inside = [(p, f) for p in points for f in features if f[1] == p[1] and f[2] <= p[2] <= f[3]]
+    held = {p[0] for p, _ in inside}
+    near = []
+    for p in points:
+        own = [f for f in features if f[1] == p[1]]
+        if p[0] not in held and own:
+            x = min(own, key=lambda f: (f[2] - p[2], 0, f[3]) if f[2] > p[2] else (p[2] - f[3], 1, -f[2]))
+            near += [(p, f) for f in own if f[2:4] == x[2:4]]
+    return inside, near
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_find_features_meets_places_once(spark, monkeypatch, seed):
+    monkeypatch.setattr(intervals, "TOGETHER", 3)
+    features, points, fs, ps = crowd(spark, seed)
+    inside, near = found_by_sql(features, points)
+    assert inside and near
+    df = intervals.find_features(ps, fs)
+    assert df.columns == ["point_id", "chr", "pos", "id", "l", "r", "fwd", "type", "description"]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(str((*p, f[0], *f[2:])) for p, f in inside + near)
+
+
+@pytest.mark.parametrize("name", ["feature_find", "nearest_gene"])
+def test_frames_of_the_nearest_features_grow(spark, name):
+    """A frame that shrinks is looked at as a whole for each of its rows."""
+    assert "unboundedfollowing" not in plan(QUERIES[name](spark, SF)).lower()
